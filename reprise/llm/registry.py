@@ -1,9 +1,9 @@
 """The queries of this subpackage and their SQL, gathered from its modules."""
 
-from . import components, consensus
+from . import components, consensus, overlap
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (consensus, components):
+for module in (consensus, overlap, components):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
