@@ -1,9 +1,9 @@
 """The queries of this subpackage and their SQL, gathered from its modules."""
 
-from . import components, consensus, overlap
+from . import components, consensus, encodings, lookalikes, overlap
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (consensus, overlap, components):
+for module in (consensus, overlap, components, lookalikes, encodings):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
