@@ -52,3 +52,9 @@ def partitions(spark: SparkSession) -> int:
 def blank(col):
     """Null where a text column is null or empty."""
     return F.when(col != "", col)
+
+
+def latest(spark: SparkSession, sf_dir: str, name: str, key: str, at: str, *columns: str) -> DataFrame:
+    """The given columns of the last delivery of each key; ties go to the larger values. Null keys stay out."""
+    rows = table(spark, sf_dir, name).filter(F.col(key).isNotNull())
+    return rows.groupBy(key).agg(F.max(F.struct(F.col(at), *[F.col(c) for c in columns])).alias("s")).select(key, *[f"s.{c}" for c in columns])

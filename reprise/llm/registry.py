@@ -1,9 +1,9 @@
 """The queries of this subpackage and their SQL, gathered from its modules."""
 
-from . import components, consensus, encodings, lookalikes, overlap
+from . import components, consensus, encodings, lookalikes, overlap, tokens
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (consensus, overlap, components, lookalikes, encodings):
+for module in (consensus, overlap, components, lookalikes, encodings, tokens):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
