@@ -1,9 +1,9 @@
 """The queries of this subpackage and their SQL, gathered from its modules."""
 
-from . import components, consensus, encodings, leaks, lookalikes, overlap, tokens
+from . import components, consensus, encodings, leaks, lookalikes, names, overlap, tokens
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (consensus, overlap, components, lookalikes, encodings, tokens, leaks):
+for module in (consensus, overlap, components, lookalikes, names, encodings, tokens, leaks):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
