@@ -30,12 +30,12 @@ LABELLED = 5000
 #: Words of a window, and from one window to the next.
 WINDOW, STRIDE = 16, 6
 #: Sizes: word and trigram vectors, states, hash buckets of trigrams, least documents of a word of its own.
-WIDTH, STATE, GRAMS, OWN = 24, 24, 1 << 14, 3
+WIDTH, STATE, GRAMS, OWN = 24, 24, 1 << 14, 6
 #: Rounds of relabelling, passes and rate of learning, windows of a step.
 ROUNDS, PASSES, RATE, STEP = 3, 3, 0.01, 256
 #: Windows of other documents drawn for a pass at least, decay of the weights, and the (natural) logarithm of the
 #: odds against chance from which a phrase is telling.
-NEGATIVES, DECAY, SEED_ODDS = 10_000, 0.002, 9.0
+NEGATIVES, DECAY, SEED_ODDS = 16_000, 0.004, 9.0
 #: Share of the sample kept to choose the threshold.
 HELD_OUT = 0.2
 
@@ -247,7 +247,7 @@ def train(sample: list[tuple[str, float]]) -> Network:
                     square[name] += 0.001 * (g * g - square[name])
                     net.p[name] -= rate * ((moment[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.999**step)) + 1e-8) + DECAY * net.p[name])
         hard = np.concatenate(net.score([list(c) for _, c in cuts]))
-        agreed = rated[of] & (marked | (hard > 0.5))
+        agreed = rated[of] & (marked | (hard > 0.8))
         wanted = agreed.astype(np.float32)
         # What the network doubts in documents rated abusive stays open; what it is sure of in others counts less.
         weight = np.where(rated[of], np.where(agreed | (hard < 0.05), 1.0, 0.0), np.where(hard > 0.98, 0.3, 1.0)).astype(np.float32)
