@@ -20,11 +20,16 @@ class Library:
         read = lambda n: spark.read.parquet(f"{folder}/{n}.parquet")
         self.spark, self.read = spark, read
 
-    def files(self, *columns: str) -> DataFrame:
-        """Files by id; only the given columns are read. A repeated delivery is an unchanged row, so plain distinct rows are kept."""
-        rows = self.read("files")
+    def files(self, *columns: str, where: str | None = None) -> DataFrame:
+        """Files by id; only the given columns are read. A repeated delivery is an unchanged row, so ``where`` may filter
+        at the scan, before repeats are removed."""
+        rows = self.read("files").filter(where) if where else self.read("files")
         return rows.select("id", *[c for c in columns if c != "id"]).dropDuplicates(["id"]) if columns else rows.dropDuplicates(["id"])
 
+    def live_files(self, *columns: str) -> DataFrame:
+        """Files that are not deleted, filtered at the scan."""
+        return self.files(*columns, where="NOT deleted")
+
     def ids(self) -> DataFrame:
         """The ids of all files."""
         return self.read("files").select("id").distinct()

@@ -10,12 +10,23 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); one of our own only where that is unset."""
+    """The folder of this application within the one all executors share (``spark.checkpoint.dir``); a folder of our
+    own only where that is unset. ``clear`` removes it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="reprise-"))
         found = spark.sparkContext.getCheckpointDir()
-    return found
+    return f"{found}/reprise-{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all tables this application wrote to the shared folder; results not yet stored elsewhere are lost."""
+    remove(spark, shared_dir(spark))
 
 
 def cut(df: DataFrame, *observed) -> tuple[DataFrame, dict]:

@@ -45,12 +45,12 @@ def query(name: str, twin: str | None = None):
 
 @query("live_filter", with_("f") + "SELECT id, title FROM f WHERE NOT deleted")
 def live_filter(l):
-    return lib.live(l.files("title", "deleted")).select("id", "title")
+    return lib.live(l.live_files("title", "deleted")).select("id", "title")
 
 
 @query("format_filter", with_("f") + "SELECT id, format FROM f WHERE format = 'FLAC'")
 def format_filter(l):
-    return lib.by_format(l.files("format"), "flac")
+    return lib.by_format(l.files("format", where="format = 'FLAC'"), "flac")
 
 
 @query("scraped_filter", with_("f e") + "SELECT id FROM f WHERE id IN (SELECT file_id FROM e WHERE title <> '')")
@@ -225,23 +225,23 @@ def hamming_words(l):
 
 @query("title_pairs")
 def title_pairs(l):
-    return ma.attribute_lane(lib.live(l.files("title", "artist", "path", "duration", "deleted")))
+    return ma.attribute_lane(lib.live(l.live_files("title", "artist", "path", "duration", "deleted")))
 
 
 @query("fingerprint_pairs")
 def fingerprint_pairs(l):
-    rows = lib.live(l.files("title", "artist", "path", "duration", "deleted", "fingerprint", "fingerprint_method", "fingerprint_duration"))
+    rows = lib.live(l.live_files("title", "artist", "path", "duration", "deleted", "fingerprint", "fingerprint_method", "fingerprint_duration"))
     return ma.fingerprint_lane(rows).select("a", "b", F.round("sim", 6).alias("sim"), "accepted", "exact")
 
 
 @query("second_fp_pairs")
 def second_fp_pairs(l):
-    return ma.second_lane(lib.live(l.files("title", "artist", "path", "duration", "deleted", "chromaprint_raw"))).select("a", "b", F.round("sim", 6).alias("sim"), "accepted")
+    return ma.second_lane(lib.live(l.live_files("title", "artist", "path", "duration", "deleted", "chromaprint_raw"))).select("a", "b", F.round("sim", 6).alias("sim"), "accepted")
 
 
 @query("plausible_pairs")
 def plausible_pairs(l):
-    return ma.enrichment_lane(lib.live(l.files("title", "artist", "path", "deleted")), l.enrichment())
+    return ma.enrichment_lane(lib.live(l.live_files("title", "artist", "path", "deleted")), l.enrichment())
 
 
 @query("dice_pairs")
@@ -287,7 +287,7 @@ _EXACT = "k AS (SELECT fingerprint, count(*) AS n, min(id) AS group_id, sum(coal
 
 @query("exact_groups", with_("f", _EXACT) + "SELECT k.group_id, (SELECT f.id FROM f WHERE NOT f.deleted AND f.fingerprint = k.fingerprint ORDER BY coalesce(f.bitrate, 0) DESC, f.id LIMIT 1) AS keep_id, k.n AS n_files, (k.total - (SELECT coalesce(f.size, 0) FROM f WHERE NOT f.deleted AND f.fingerprint = k.fingerprint ORDER BY coalesce(f.bitrate, 0) DESC, f.id LIMIT 1))::BIGINT AS reclaimable FROM k")
 def exact_groups(l):
-    rows = lib.live(l.files("fingerprint", "bitrate", "size", "deleted")).filter(F.size("fingerprint") > 0)
+    rows = lib.live(l.live_files("fingerprint", "bitrate", "size", "deleted")).filter(F.size("fingerprint") > 0)
     edges = ma.star_edges(rows, F.concat_ws(" ", "fingerprint"))
     return gr.representative(gr.build(rows, edges), rows).orderBy(F.desc("reclaimable"), "group_id")
 
@@ -295,14 +295,14 @@ def exact_groups(l):
 @query("full_match")
 def full_match(l):
     """All lanes together with the groups of earlier runs."""
-    rows, _ = st.cut(lib.live(l.files("title", "artist", "path", "duration", "deleted", "fingerprint", "fingerprint_method", "fingerprint_duration")))
+    rows, _ = st.cut(lib.live(l.live_files("title", "artist", "path", "duration", "deleted", "fingerprint", "fingerprint_method", "fingerprint_duration")))
     lanes = [ma.attribute_lane(rows), ma.fingerprint_lane(rows).filter("accepted"), ma.enrichment_lane(rows, l.enrichment())]
     return gr.match(rows, lanes, l.members())
 
 
 @query("group_evidence")
 def group_evidence(l):
-    rows, _ = st.cut(lib.live(l.files("title", "artist", "path", "duration", "deleted", "fingerprint", "fingerprint_method", "fingerprint_duration")))
+    rows, _ = st.cut(lib.live(l.live_files("title", "artist", "path", "duration", "deleted", "fingerprint", "fingerprint_method", "fingerprint_duration")))
     pairs, _ = st.cut(ma.fingerprint_lane(rows))
     found = gr.evidence(gr.build(rows, pairs.filter("accepted")), pairs, ["exact", "accepted"])
     return found.select("group_id", gr.percent(F.col("max_sim")).alias("similarity"), "exact", "accepted")
@@ -396,7 +396,7 @@ def visible_savings(l):
 
 @query("page_nulls_last", with_("f") + "SELECT id, album_year FROM f WHERE NOT deleted ORDER BY album_year DESC NULLS LAST, id LIMIT 50 OFFSET 50")
 def page_nulls_last(l):
-    return lib.page(lib.live(l.files("album_year", "deleted")).select("id", "album_year"), lib.order_by("album_year", True), 2, 50)
+    return lib.page(lib.live(l.live_files("album_year", "deleted")).select("id", "album_year"), lib.order_by("album_year", True), 2, 50)
 
 
 @query("locate_row", with_("f", "k AS (SELECT id, row_number() OVER (ORDER BY title NULLS LAST, id) - 1 AS position FROM f WHERE NOT deleted)") + "SELECT 1959::BIGINT AS id, coalesce((SELECT position FROM k WHERE id = 1959), -1) AS position")
@@ -529,13 +529,13 @@ def comparison(l):
 
 @query("candidate_rank")
 def candidate_rank(l):
-    found = lib.live(l.files("title", "artist", "album", "duration", "track_number", "deleted"))
+    found = lib.live(l.live_files("title", "artist", "album", "duration", "track_number", "deleted"))
     return en.candidates(en.search(found, l.catalogue())).select("file_id", "rec_id", "rank", "total", "basis", "genre", "album_year")
 
 
 @query("enrich_offline")
 def enrich_offline(l):
-    found = lib.live(l.files("title", "artist", "album", "duration", "track_number", "deleted"))
+    found = lib.live(l.live_files("title", "artist", "album", "duration", "track_number", "deleted"))
     return en.enrich(found, l.catalogue()).select("file_id", "rec_id", "title", "artist", "album", "album_year", "track_number", "genre", "duration", "match_basis")
 
 

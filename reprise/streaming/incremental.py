@@ -38,7 +38,7 @@ class IncrementalMatcher:
             # Pairs of a file that changed are judged anew.
             kept = pairs.read().join(touched.withColumnRenamed("id", "a"), "a", "left_anti").join(touched.withColumnRenamed("id", "b"), "b", "left_anti")
             new = kept.unionByName(new)
-        pairs.write(new)
+        pairs.write(new.select("a", "b"))
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger):
         """Runs on a streaming table of files; ``trigger`` as for ``DataStreamWriter.trigger``."""
