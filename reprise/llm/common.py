@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import remove, shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table of the input folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="reprise-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
 class Stored:
     """A table written to the shared folder, so that its lineage ends there and lost executors cost nothing.
 
@@ -32,16 +24,14 @@ class Stored:
 
     def __init__(self, df: DataFrame, *observed) -> None:
         spark = df.sparkSession
-        self.path = f"{shared_dir(spark)}/reprise-{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
         watch = Observation() if observed else None
         (df.observe(watch, *observed) if watch else df).write.parquet(self.path)
         self.seen = watch.get if watch else {}
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        spark = self.df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        remove(self.df.sparkSession, self.path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -49,11 +39,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def blank(col):
-    """Null where a text column is null or empty."""
-    return F.when(col != "", col)
-
-
 def latest(spark: SparkSession, sf_dir: str, name: str, key: str, at: str, *columns: str) -> DataFrame:
     """The given columns of the last delivery of each key; ties go to the larger values. Null keys stay out."""
     rows = table(spark, sf_dir, name).filter(F.col(key).isNotNull())
