@@ -1 +1,21 @@
 """Reprise: entity resolution and retention over large catalogues, on PySpark DataFrames."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
+
+def ship(spark) -> None:
+    """Gives the session's Python workers this package, wherever they run; once a session."""
+    context = spark.sparkContext
+    if getattr(context, "_reprise_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="reprise-")) / "reprise.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, Path("reprise") / path.relative_to(root))
+    context.addPyFile(str(target))
+    context._reprise_shipped = True

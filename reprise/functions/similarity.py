@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,13 +87,41 @@ def sliding_similarity(x: np.ndarray, y: np.ndarray) -> float:
     return result
 
 
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all lists in a row, and where each list starts and how long it is (0 for null)."""
+    words = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False)).astype(np.int64).astype(np.uint32)
+    sizes = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+    return words, np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else sizes, sizes
+
+
+def sliding_similarities(x: pa.ListArray, y: pa.ListArray) -> np.ndarray:
+    """``sliding_similarity`` of two columns: pairs of equal lengths are compared together, an offset at a time."""
+    (xw, xs, xn), (yw, ys, yn) = _lists(x), _lists(y)
+    out = np.zeros(len(xn))
+    shapes, of = np.unique(np.stack([xn, yn], axis=1), axis=0, return_inverse=True)
+    order = np.argsort(of.ravel(), kind="stable")
+    for (p, q), rows in zip(shapes, np.split(order, np.flatnonzero(np.diff(of.ravel()[order])) + 1)):
+        if min(p, q) < OVERLAP:
+            continue
+        left, right = xw[xs[rows][:, None] + np.arange(p)], yw[ys[rows][:, None] + np.arange(q)]
+        best, result = np.full(len(rows), -1, np.int64), np.zeros(len(rows))
+        for offset in range(-OFFSETS, OFFSETS + 1):
+            a, b = left[:, max(0, offset) :], right[:, max(0, -offset) :]
+            n = min(a.shape[1], b.shape[1])
+            if n >= OVERLAP:
+                same = 32 * n - np.bitwise_count(a[:, :n] ^ b[:, :n]).sum(1, dtype=np.int64)
+                more = same > best
+                best[more], result[more] = same[more], same[more] / (32 * n)
+        out[rows] = result
+    return out
+
+
 def score_pairs(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """Adds ``name``: the sliding similarity of the word lists in columns ``a`` and ``b`` (null lists score 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (batch.column(c).to_pylist() for c in (a, b))
-            sims = [sliding_similarity(np.array(p, np.int64).astype(np.uint32), np.array(q, np.int64).astype(np.uint32)) if p and q else 0.0 for p, q in zip(x, y)]
+            sims = sliding_similarities(batch.column(a), batch.column(b))
             rest = batch.select([c for c in batch.schema.names if c not in (a, b)])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sims, pa.float64())], [*rest.schema.names, name])
 

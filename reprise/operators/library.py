@@ -140,6 +140,17 @@ def needs_enrichment(files: DataFrame, enrichment: DataFrame, source: str, mode:
     return rows
 
 
+def work_counts(files: DataFrame) -> DataFrame:
+    """A5: how many live files each step of a run would work on, in one pass: rows (step, n)."""
+    steps = {
+        "metadata": "meta_extracted_at IS NULL OR meta_extracted_at < file_mtime", "fingerprint": "fingerprint IS NULL OR fp_extracted_at IS NULL OR fp_extracted_at < file_mtime",
+        "second_fingerprint": "fingerprint IS NOT NULL AND (chromaprint IS NULL OR chromaprint_raw IS NULL)", "attribute_match": "title <> ''",
+        "text_enrichment": "title <> '' AND mb_checked_at IS NULL", "fingerprint_enrichment": "chromaprint IS NOT NULL AND acoustid_checked_at IS NULL",
+    }
+    counted = live(files).agg(*[F.count_if(F.expr(e)).alias(n) for n, e in steps.items()])
+    return counted.unpivot([], list(steps), "step", "n")
+
+
 def order_by(column: str, descending: bool = False, fold: bool = False) -> list[Column]:
     """O1–O3: nulls last in either direction; ``fold`` ignores case; the id settles ties."""
     if column not in SORTABLE:

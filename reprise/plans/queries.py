@@ -19,7 +19,7 @@ from ..operators import retention as re_
 from ..operators import storage as st
 from ..operators.graph import connected_components
 from ..sources.audio import sine_files
-from . import sql
+from . import pipeline, sql
 from .config import Config
 from .sql import with_
 
@@ -308,6 +308,12 @@ def group_evidence(l):
     return found.select("group_id", gr.percent(F.col("max_sim")).alias("similarity"), "exact", "accepted")
 
 
+@query("library_groups")
+def library_groups(l):
+    """The whole pipeline: all lanes, seeded with earlier groups, described and tagged."""
+    return pipeline.run(l)[0].withColumn("group_tags", F.array_join("group_tags", ","))
+
+
 @query("one_recording", with_("m e") + "SELECT m.group_id FROM m JOIN e ON e.file_id = m.file_id AND e.source = 'musicbrainz' AND e.mb_recording_id <> '' GROUP BY m.group_id HAVING count(*) >= 2 AND count(DISTINCT e.mb_recording_id) = 1")
 def one_recording(l):
     return gr.confirmed_by_one_recording(l.members(), l.enrichment())
@@ -388,6 +394,13 @@ def last_scan(l):
     return l.read("files").agg(F.max("scan_time").alias("last_scan"))
 
 
+@query("work_counts", with_("f") + """SELECT 'second_fingerprint' AS step, count(*) AS n FROM f WHERE NOT deleted AND fingerprint IS NOT NULL AND (chromaprint IS NULL OR chromaprint_raw IS NULL)
+UNION ALL SELECT 'metadata', count(*) FROM f WHERE NOT deleted AND (meta_extracted_at IS NULL OR meta_extracted_at < file_mtime) UNION ALL SELECT 'fingerprint', count(*) FROM f WHERE NOT deleted AND (fingerprint IS NULL OR fp_extracted_at IS NULL OR fp_extracted_at < file_mtime)
+UNION ALL SELECT 'attribute_match', count(*) FROM f WHERE NOT deleted AND title <> '' UNION ALL SELECT 'text_enrichment', count(*) FROM f WHERE NOT deleted AND title <> '' AND mb_checked_at IS NULL UNION ALL SELECT 'fingerprint_enrichment', count(*) FROM f WHERE NOT deleted AND chromaprint IS NOT NULL AND acoustid_checked_at IS NULL""")
+def work_counts(l):
+    return lib.work_counts(l.live_files("title", "deleted", "fingerprint", "fp_extracted_at", "meta_extracted_at", "file_mtime", "chromaprint", "chromaprint_raw", "mb_checked_at", "acoustid_checked_at"))
+
+
 @query("visible_savings", with_("f m g", "k AS (SELECT g.group_id, coalesce(g.resolved, false) AS resolved, sum(coalesce(f.size, 0)) - coalesce(sum(coalesce(f.size, 0)) FILTER (f.id = g.smart_keep_id), first(coalesce(f.size, 0) ORDER BY coalesce(f.bitrate, 0) DESC, f.id)) AS savings FROM m JOIN f ON f.id = m.file_id JOIN g USING (group_id) GROUP BY g.group_id, g.resolved)") + "SELECT resolved, count(*) AS n_groups, sum(savings)::BIGINT AS savings FROM k GROUP BY resolved")
 def visible_savings(l):
     rows = gr.listed(l.groups(), l.members(), l.files("title", "artist", "album", "path", "bitrate", "size"))
