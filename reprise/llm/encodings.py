@@ -46,11 +46,9 @@ DECISION = 0.05
 
 _KINDS = (
     "start", "space", "lower", "upper", "accented lower", "accented upper", "Greek lower", "Greek upper", "Cyrillic lower", "Cyrillic upper",
-    "rare Cyrillic lower", "rare Cyrillic upper", "Hiragana", "Katakana", "ideograph", "Hangul", "other letter", "mark", "digit", "punctuation", "quote", "dash", "symbol", "currency", "box", "control", "private",
+    "Hiragana", "Katakana", "ideograph", "Hangul", "other letter", "mark", "digit", "punctuation", "quote", "dash", "symbol", "currency", "box", "control", "private",
 )
 KIND = {k: i for i, k in enumerate(_KINDS)}
-#: Cyrillic letters outside the Russian alphabet.
-_RARE = "ЂЃЄЅІЇЈЉЊЋЌЎЏҐђѓєѕіїјљњћќўџґ"
 
 
 @cache
@@ -60,8 +58,6 @@ def kind(ch: str) -> int:
     case = "lower" if cat == "Ll" else "upper"
     if ch == " ":
         found = "space"
-    elif ch in _RARE:
-        found = f"rare Cyrillic {case}"
     elif cat[0] == "L":
         if name.startswith("LATIN"):
             found = case if ch.isascii() else f"accented {case}"

@@ -90,7 +90,10 @@ def unstable(ch: str) -> bool:
 
 def _kept(ch: str, before: str, after: str) -> bool:
     """Whether an invisible or wide character is at home between its neighbours."""
-    if ch in "️︎‍" and before and (unicodedata.category(before) in ("So", "Sk") or before in "#*️" or before.isdigit()):
+    pictured = bool(before) and unicodedata.category(before) in ("So", "Sk")
+    if ch in "️︎" and (pictured or after == "⃣"):
+        return True
+    if ch == "‍" and (pictured or before == "️") and bool(after) and unicodedata.category(after) in ("So", "Sk"):
         return True
     if ch in "‌‍‎‏؜":
         return any(x and (unicodedata.bidirectional(x) in ("AL", "R") or "ऀ" <= x <= "෿") for x in (before, after))
@@ -147,7 +150,7 @@ def _ascii(text: str) -> str:
         letters = [ch for ch in word if ch.isalpha() and ch not in "Il"]
         upper, lower = sum(ch.isupper() for ch in letters), sum(ch.islower() for ch in letters)
         if not any(ch.isdigit() and ch != "0" for ch in word) and "0" in word and letters:
-            word = re.sub("0", "O" if upper > lower or word[0] == "0" and lower and not upper and word[1:].islower() and m.start() == 0 else "o", word)
+            word = ("O" if word[0] == "0" and text != text.lower() else word[0].replace("0", "o")) + re.sub("0", "O" if upper > lower else "o", word[1:])
         word = re.sub(r"(?<=[^\W\d_])[1|](?=[^\W\d_])", "l", word)
         if lower:
             if not re.match(r"Ma?cI", word):
