@@ -165,17 +165,14 @@ def tiers(rows: DataFrame) -> DataFrame:
 
 def field_choices(rows: DataFrame) -> DataFrame:
     """Per file and field whether the sources match it, recommend a value, or must be judged; which source, and whether they conflict."""
-
-    def one(n: str) -> Column:
-        value = lambda p: F.nullif(F.nullif(F.col(f"{p}_{n}").cast("string"), F.lit("")), F.lit("0"))
-        key = lambda c: q.wide_key(c)
-        own, mb, aid = F.nullif(F.nullif(F.col(n).cast("string"), F.lit("")), F.lit("0")), value("mb"), value("aid")
-        conflict = F.coalesce(key(mb) != key(aid), F.lit(False))
-        state = F.when(mb.isNull() & aid.isNull(), F.lit(None).cast("string")).when(F.coalesce(key(own) == key(mb), F.lit(False)) | F.coalesce(key(own) == key(aid), F.lit(False)), "match").when(own.isNull() & ~conflict, "recommend").otherwise("judge")
-        source = F.when(F.coalesce(key(own) == key(aid), F.lit(False)), "acoustid").when(F.coalesce(key(own) == key(mb), F.lit(False)), "musicbrainz").when(aid.isNotNull(), "acoustid").when(mb.isNotNull(), "musicbrainz")
-        return F.struct(F.lit(n).alias("field"), state.alias("state"), source.alias("source"), conflict.alias("conflict"))
-
-    return rows.select("id", F.explode(F.array(*[one(n) for n in FIELDS if n != "duration"])).alias("c")).select(F.col("id").alias("file_id"), "c.*").filter("state IS NOT NULL")
+    clean = lambda c: F.nullif(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("0"))
+    cells = F.array(*[F.struct(F.lit(n).alias("field"), clean(n).alias("own"), clean(f"mb_{n}").alias("mb"), clean(f"aid_{n}").alias("aid")) for n in FIELDS if n != "duration"])
+    long = rows.select(F.col("id").alias("file_id"), F.explode(cells).alias("c")).select("file_id", "c.*").filter("mb IS NOT NULL OR aid IS NOT NULL")
+    keyed = long.withColumns({f"{c}_key": F.when(F.col(c).isNotNull(), q.wide_key(F.col(c))) for c in ("own", "mb", "aid")})
+    is_mb, is_aid, conflict = (F.coalesce(e, F.lit(False)) for e in (F.col("own_key") == F.col("mb_key"), F.col("own_key") == F.col("aid_key"), F.col("mb_key") != F.col("aid_key")))
+    state = F.when(is_mb | is_aid, "match").when(F.col("own").isNull() & ~conflict, "recommend").otherwise("judge")
+    source = F.when(is_aid, "acoustid").when(is_mb, "musicbrainz").when(F.col("aid").isNotNull(), "acoustid").otherwise("musicbrainz")
+    return keyed.select("file_id", "field", state.alias("state"), source.alias("source"), conflict.alias("conflict"))
 
 
 def source_stats(rows: DataFrame) -> DataFrame:

@@ -244,7 +244,11 @@ def plausible_pairs(l):
     return ma.enrichment_lane(lib.live(l.live_files("title", "artist", "path", "deleted")), l.enrichment())
 
 
-@query("dice_pairs")
+_DICE = f"""d AS (SELECT e.file_id, e.source, {sql.wide('f.title')} AS a, {sql.wide('e.title')} AS b FROM e JOIN f ON f.id = e.file_id),
+b2 AS (SELECT *, list_distinct(list_transform(range(1, greatest(length(a) - 1, 1) + 1), lambda i: substr(a, i, 2))) AS x, list_distinct(list_transform(range(1, greatest(length(b) - 1, 1) + 1), lambda i: substr(b, i, 2))) AS y FROM d)"""
+
+
+@query("dice_pairs", with_("f e", _DICE) + "SELECT file_id, source, round(CASE WHEN a = '' OR b = '' THEN 0 WHEN a = b THEN 1 ELSE 2 * len(list_intersect(x, y)) / (len(x) + len(y)) END, 6)::DOUBLE AS dice FROM b2")
 def dice_pairs(l):
     rows = l.enrichment().select("file_id", "source", F.col("title").alias("said")).join(l.files("title").withColumnRenamed("id", "file_id"), "file_id")
     return rows.select("file_id", "source", F.round(sim.dice(F.col("title"), F.col("said")), 6).alias("dice"))
@@ -481,7 +485,7 @@ d AS (SELECT *, coalesce(first_value(mb_seconds IGNORE NULLS) OVER o, first_valu
 t0 AS (SELECT *, CASE WHEN duration > 0 THEN abs(duration - reference) END AS deviation, true AS alive, NULL::VARCHAR AS decided_by FROM d)"""
 _TIER_SQL = {
     "scrape_best": ("verified", "agreed"), "quality_best": ("true", "quality"), "ctime_best": ("coalesce(file_ctime > 0, false)", "file_ctime"), "release_best": ("coalesce(album_year > 0, false)", "-album_year"),
-    "album_best": ("kind_score > 0", "kind_score"), "meta_best": ("true", "filled"), "duration_accurate": ("deviation IS NOT NULL", "-floor(deviation / 3)"),
+    "album_best": ("kind_score > 0", "kind_score"), "meta_best": ("true", "filled"), "duration_accurate": ("deviation IS NOT NULL", "0 - floor(deviation / 3)"),
 }
 
 
@@ -532,7 +536,10 @@ def dimension_best(l):
     return re_.dimension_tags(_retained(l)).select("group_id", "file_id", F.array_join("pick_tags", ",").alias("tags"))
 
 
-@query("comparison")
+_CELLS = "h AS (" + " UNION ALL ".join(f"SELECT group_id, file_id, '{k}' AS dimension, CASE WHEN {a} THEN ({v})::DOUBLE END AS score FROM t0" for k, (a, v) in _TIER_SQL.items()) + ")"
+
+
+@query("comparison", with_("f e m", _SCORED + ",\n" + _CELLS) + "SELECT group_id, file_id, dimension, round(score, 4)::DOUBLE AS score, coalesce(score = max(score) OVER w AND min(score) OVER w < max(score) OVER w, false) AS best FROM h WINDOW w AS (PARTITION BY group_id, dimension)")
 def comparison(l):
     return re_.comparison(_retained(l)).select("group_id", "file_id", "dimension", F.round("score", 4).alias("score"), "best")
 
@@ -567,7 +574,13 @@ def release_pick(l):
     return l.catalogue().filter(F.size("releases") > 0).select("rec_id", picked.alias("release_id"))
 
 
-@query("field_choices")
+_CLEAN = lambda c: f"nullif(nullif({c}::VARCHAR, ''), '0')"
+_KEY = lambda c: f"CASE WHEN {_CLEAN(c)} IS NOT NULL THEN {sql.wide(_CLEAN(c))} END"
+_CHOICE = lambda c: f"SELECT id AS file_id, '{c}' AS field, {_CLEAN(c)} AS o, {_CLEAN('mb_' + c)} AS m, {_CLEAN('aid_' + c)} AS a, {_KEY(c)} AS ko, {_KEY('mb_' + c)} AS km, {_KEY('aid_' + c)} AS ka FROM x"
+
+
+@query("field_choices", with_("f e", _RAW_GENRE + ",\nh AS (" + " UNION ALL ".join(_CHOICE(c) for c in ("title", "artist", "album", "album_year", "track_number", "genre")) + ")") + """SELECT file_id, field, CASE WHEN coalesce(ko = km, false) OR coalesce(ko = ka, false) THEN 'match' WHEN o IS NULL AND NOT coalesce(km <> ka, false) THEN 'recommend' ELSE 'judge' END AS state,
+CASE WHEN coalesce(ko = ka, false) THEN 'acoustid' WHEN coalesce(ko = km, false) THEN 'musicbrainz' WHEN a IS NOT NULL THEN 'acoustid' WHEN m IS NOT NULL THEN 'musicbrainz' END AS source, coalesce(km <> ka, false) AS conflict FROM h WHERE m IS NOT NULL OR a IS NOT NULL""")
 def field_choices(l):
     return en.field_choices(re_.enriched(l.files(), l.enrichment()))
 
