@@ -27,6 +27,8 @@ from .lookalikes import canonical
 
 #: Rated documents the network is trained on at most; the sample is by hash of the id.
 LABELLED = 5000
+#: Rated documents of more characters are not trained on (they are scored like all others).
+LONGEST = 50_000
 #: Words of a window, and from one window to the next.
 WINDOW, STRIDE = 16, 6
 #: Sizes: word and trigram vectors, states, hash buckets of trigrams, least documents of a word of its own.
@@ -290,7 +292,7 @@ def sample_of(docs: DataFrame, labels: DataFrame) -> list[tuple[str, float]]:
     rated = labels.select("doc_id", "rater", "abusive").filter("abusive IS NOT NULL AND doc_id IS NOT NULL").distinct()
     share = rated.groupBy("doc_id").agg(F.avg("abusive").alias("share")).filter("share <> 0.5")
     taken = share.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    rows = docs.select("doc_id", "text").filter("text <> ''").join(taken, "doc_id").select("doc_id", "text", "share").collect()  # bounded: LABELLED rows
+    rows = docs.select("doc_id", "text").filter((F.col("text") != "") & (F.length("text") <= LONGEST)).join(taken, "doc_id").select("doc_id", "text", "share").collect()  # bounded: LABELLED rows
     return [(r["text"], float(r["share"])) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 SALTS = 8
+#: Cells of the alignment table up to which it is filled whole.
+CELLS = 250_000
 #: What a differing token of equal trust costs, against 1 for less trust: any number of fields adds up to less than 1.
 EQUAL_TRUST = 0.001
 
@@ -41,6 +44,13 @@ def align(profile: list[dict[str, int]], votes: list[dict[str, int]]) -> list[di
     if n == m == 1 or not n or not m:
         short = [{}] * max(n, m)
         pairs = list(zip(profile or short, votes or short))
+    elif n * m > CELLS:  # long texts: the matching blocks of the most voted tokens
+        first, second = ([min(c, key=lambda t: (-c[t], t)) if c else "" for c in side] for side in (profile, votes))
+        pairs, i, j = [], 0, 0
+        for block in SequenceMatcher(None, first, second, autojunk=False).get_matching_blocks():
+            pairs += [(a, {}) for a in profile[i : block.a]] + [({}, b) for b in votes[j : block.b]]
+            pairs += list(zip(profile[block.a : block.a + block.size], votes[block.b : block.b + block.size]))
+            i, j = block.a + block.size, block.b + block.size
     else:
         gain = [[sum(min(a[t], b[t]) for t in a.keys() & b.keys()) for b in votes] for a in profile]
         best = [[0] * (m + 1) for _ in range(n + 1)]

@@ -40,6 +40,14 @@ def test_alignment_adds_up_votes():
     assert profile == [{"a": 1}, {"b": 3}] and C.elect(profile, 3) == ["b"]
 
 
+def test_long_texts_align_alike(monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    other = words[:20] + ["new"] + words[20:40] + words[45:]
+    whole = C.align([{w: 2} for w in words], [{w: 1} for w in other])
+    monkeypatch.setattr(C, "CELLS", 1)
+    assert C.align([{w: 2} for w in words], [{w: 1} for w in other]) == whole
+
+
 @pytest.mark.parametrize("name", list(C.ORACLES))
 def test_sql(spark, agree, small, name):
     agree(spark, C.QUERIES[name], C.ORACLES[name], small)
