@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, table
+from .common import Stored, partitions, table
 from .lookalikes import canonical
 
 #: Encodings of one byte a character, in which texts were read or written by mistake.
@@ -244,7 +244,8 @@ class Model:
     def fit(files: DataFrame) -> Model:
         """Expectation-maximization over all titles, artists and albums of ``files``."""
         values = texts(files)
-        counted = Stored(values.filter("text <> ''").groupBy("source", "field", "text").count().drop("count"))
+        # The rounds are work for Python: spread over all partitions, not by bytes.
+        counted = Stored(values.filter("text <> ''").groupBy("source", "field", "text").count().drop("count").repartition(partitions(files.sparkSession)))
         model = None
         ddl = "what string, key string, n double"
         plain = counted.df.filter(~F.col("text").rlike(r"[^\x00-\x7f]")).mapInArrow(_plain_counts, ddl).groupBy("what", "key").agg(F.sum("n").alias("n")).collect()
