@@ -13,7 +13,8 @@ RETENTION_ORDER = ("duration_accurate", "quality_best", "ctime_best", "album_bes
 
 @dataclass(frozen=True)
 class Config:
-    """``compat`` keeps the original's removal of noise words inside words; ``exact_only`` trusts exact enrichment alone."""
+    """``compat`` keeps the original's removal of noise words inside words; ``exact_only`` trusts exact enrichment alone;
+    ``bucket_limit`` (600 in the original) leaves duration buckets of more rows to the segment keys."""
 
     threshold: float = 0.90
     second: float = 0.90
@@ -22,7 +23,7 @@ class Config:
     tolerance: float = 5.0
     segments: int = 5
     band: float = 4.0
-    bucket_limit: int | None = 600
+    bucket_limit: int | None = None
     compat: bool = True
     exact_only: bool = False
     tier_order: tuple[str, ...] = TIERS

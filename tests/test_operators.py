@@ -94,6 +94,16 @@ def test_fingerprint_lane(spark):
     assert found["max_sim"] == 1.0 and found["exact"]
 
 
+def test_lanes_compare_hot_durations(spark):
+    rng = random.Random(5)
+    base = [[rng.getrandbits(32) for _ in range(22)] for _ in range(602)]
+    base[601] = [w ^ (k % 2) for k, w in enumerate(base[0])]  # no three words in a row in common
+    rows = files(spark, *({"id": i, "fingerprint": x, "fingerprint_method": "spectral", "fingerprint_duration": 100.0, "chromaprint_raw": x, "duration": 100.0} for i, x in enumerate(base)))
+    for lane in (ma.fingerprint_lane, ma.second_lane):
+        found = lane(rows).select("a", "b", "accepted").toPandas()
+        assert len(found) == 602 * 601 // 2 and found[found.accepted][["a", "b"]].values.tolist() == [[0, 601]]
+
+
 def test_enrichment_lane(spark):
     rows = files(spark, {"id": 1, "title": "One"}, {"id": 2, "title": "One"}, {"id": 3, "title": "Else"}, {"id": 4, "title": "One"})
     said = spark.createDataFrame([(1, "musicbrainz", "r", "exact"), (2, "acoustid", "r", "fuzzy"), (3, "musicbrainz", "r", "exact"), (4, "musicbrainz", "", "exact")], "file_id bigint, source string, mb_recording_id string, match_basis string")
