@@ -269,6 +269,13 @@ def edit_similarity(l):
     return plain.select("file_id", "source", F.round(sim.edit_similarity(F.col("title"), F.col("said")), 6).alias("sim"))
 
 
+@query("edit_similarity_all")
+def edit_similarity_all(l):
+    """All titles, in characters; no twin, as the one above counts bytes. Null where a title is missing."""
+    rows = l.enrichment().select("file_id", "source", F.col("title").alias("said")).join(l.files("title").withColumnRenamed("id", "file_id"), "file_id")
+    return rows.select("file_id", "source", F.round(sim.edit_similarity(F.col("title"), F.col("said")), 6).alias("sim"))
+
+
 @query("duration_scores", with_("f e") + "SELECT file_id, source, CASE WHEN f.duration > 0 AND e.duration > 0 THEN CASE WHEN abs(f.duration - e.duration) <= 3 THEN 1.0 WHEN abs(f.duration - e.duration) <= 8 THEN 0.6 WHEN abs(f.duration - e.duration) <= 20 THEN 0.2 ELSE 0.0 END END::DOUBLE AS score FROM e JOIN f ON f.id = e.file_id")
 def duration_scores(l):
     rows = l.enrichment().select("file_id", "source", F.col("duration").alias("said")).join(l.files("duration").withColumnRenamed("id", "file_id"), "file_id")

@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from reprise import registry
 from reprise.operators import enrichment as en
 from reprise.operators import groups as gr
 from reprise.operators import library as lib
@@ -104,6 +105,19 @@ def test_lanes_compare_hot_durations(spark):
         assert len(found) == 602 * 601 // 2 and found[found.accepted][["a", "b"]].values.tolist() == [[0, 601]]
 
 
+def test_edit_similarity_of_all_titles(spark, tmp_path):
+    titles = [("Läd", "Lad"), ("中文歌", "中文"), ("abc", "abd"), ("é", ""), ("日本", "日本"), ("x", None)]
+    files(spark, *({"id": i, "title": a} for i, (a, _) in enumerate(titles))).write.parquet(str(tmp_path / "files.parquet"))
+    said = [(i, "acoustid", b, 1) for i, (_, b) in enumerate(titles)]
+    spark.createDataFrame(said, "file_id bigint, source string, title string, scraped_at bigint").write.parquet(str(tmp_path / "scraped_meta.parquet"))
+    got = {r["file_id"]: r["sim"] for r in registry.QUERIES["edit_similarity_all"](spark, str(tmp_path)).collect()}
+
+    def edits(a, b):
+        return max(len(a), len(b)) if not a or not b else min(edits(a[1:], b) + 1, edits(a, b[1:]) + 1, edits(a[1:], b[1:]) + (a[0] != b[0]))
+
+    assert got == {i: None if b is None else round(1 - edits(a, b) / max(len(a), len(b)), 6) for i, (a, b) in enumerate(titles)}
+
+
 def test_enrichment_lane(spark):
     rows = files(spark, {"id": 1, "title": "One"}, {"id": 2, "title": "One"}, {"id": 3, "title": "Else"}, {"id": 4, "title": "One"})
     said = spark.createDataFrame([(1, "musicbrainz", "r", "exact"), (2, "acoustid", "r", "fuzzy"), (3, "musicbrainz", "r", "exact"), (4, "musicbrainz", "", "exact")], "file_id bigint, source string, mb_recording_id string, match_basis string")
