@@ -44,8 +44,11 @@ HELD_OUT = 0.2
 # Digits and signs that stand for letters within a word.
 _LEET = str.maketrans("013457@$!€|", "oieastasiel")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_] ){3,}[^\W\d_](?!\w)")
-_WORD = re.compile(r"[぀-ヿ㐀-鿿々]|[^\W_](?:[\w*@$€!|](?=[\w*@$€|])|[\w*@$€])*|\*{2,}\w*")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿々]")
+_LETTER = r"[^\W぀-ヿ㐀-鿿々]"  # a word ends where kana or kanji begin
+_WORD = re.compile(rf"{_WIDE.pattern}|[^\W_](?:{_LETTER}|[*@$€]|[!|](?={_LETTER}|[*@$€|]))*|\*{{2,}}{_LETTER}*")
+#: Words of more characters are not kept in memory.
+KEPT = 64
 
 
 def words(text: str | None) -> list[str]:
@@ -70,11 +73,15 @@ def plain(word: str) -> str:
     return re.sub(r"(.)\1{2,}", r"\1", word)
 
 
-@lru_cache(200_000)
 def grams(word: str) -> tuple[int, ...]:
-    """Buckets of the letter trigrams of a word; a masked letter is any letter."""
+    """Buckets of all letter trigrams of a word; a masked letter is any letter."""
+    return _grams(word) if len(word) <= KEPT else _grams.__wrapped__(word)
+
+
+@lru_cache(200_000)
+def _grams(word: str) -> tuple[int, ...]:
     marked = f"^{word}$"
-    return tuple(sorted({zlib.crc32(marked[k : k + 3].encode()) % GRAMS for k in range(max(1, len(marked) - 2))}))[:24]
+    return tuple(sorted({zlib.crc32(marked[k : k + 3].encode()) % GRAMS for k in range(max(1, len(marked) - 2))}))
 
 
 def windows(n: int) -> list[tuple[int, int]]:

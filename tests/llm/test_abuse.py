@@ -29,6 +29,14 @@ def test_learns_from_noisy_ratings():
     assert all(s.max() >= net.threshold for s in net.score([A.words(t) for t in masked]))
 
 
+def test_words_are_read_whole():
+    assert A.words("Orchestraの新しい2004年") == ["orchestra", "の新", "新し", "しい", "い", "2004", "年"]
+    assert A.words("sh!t f**k a!") == ["sh!t", "f**k", "a"]
+    word = "".join(chr(97 + k * 7 % 26) + chr(97 + k * k % 26) for k in range(60))
+    marked = f"^{word}$"
+    assert set(A.grams(word)) == {A.zlib.crc32(marked[k : k + 3].encode()) % A.GRAMS for k in range(len(word))}
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = A.Network({"aa": 1, "bb": 2})
