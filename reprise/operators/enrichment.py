@@ -13,26 +13,26 @@ from .storage import cut
 # Weights and bounds of release choice and candidate scores.
 ALBUM_WEIGHT, SCRIPT_WEIGHT, TOP_FRACTION, LEAST_SCORE = 0.75, 0.25, 0.9, 0.4
 FIELDS = ("title", "artist", "album", "album_year", "track_number", "genre", "duration")
-#: A title of more records than this is no blocking key by itself; then the artist joins it.
+#: Records of a title that meet in one task; titles of more are joined in so many parts.
 COMMON = 1000
 
 
 def search(files: DataFrame, catalogue: DataFrame, limit: int = 25) -> DataFrame:
     """Offline text search: records of the same normalised title whose artist is not another one, best score first, at most ``limit`` a file.
 
-    The limit is that of the search. Titles of very many records are joined together with the artist.
+    The limit is that of the search. Titles of very many records are joined in parts, by the same rule.
     """
     named = F.array_join("artists.name", ", ")
     recs = catalogue.filter("rec_id IS NOT NULL").dropDuplicates(["rec_id"]).withColumn("key", normalize(F.col("title"))).withColumn("rec_artist", normalize(named)).filter("key <> ''")
-    common = recs.groupBy("key").count().filter(F.col("count") > COMMON).select("key")
+    parts = recs.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / COMMON).alias("parts"))
     own = files.select("id", "title", "artist", "album", "duration", "track_number").withColumn("key", normalize(F.col("title"))).withColumn("own_artist", normalize(F.col("artist"))).filter("key <> ''")
     cols = [c for c in recs.columns if c not in ("key", "rec_artist", "title")]
-    side = recs.select("key", "rec_artist", F.col("title").alias("rec_title"), *cols)
+    side = recs.join(parts, "key").select("key", F.pmod(F.xxhash64("rec_id"), F.col("parts")).alias("part"), "rec_artist", F.col("title").alias("rec_title"), *cols)
+    own = own.join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
     near = (F.col("own_artist") == "") | (F.col("rec_artist") == "") | F.contains("own_artist", "rec_artist") | F.contains("rec_artist", "own_artist")
-    rare = own.join(side.join(common, "key", "left_anti"), "key").filter(near)
-    hot = own.join(common, "key", "left_semi").join(side.withColumn("own_artist", F.col("rec_artist")), ["key", "own_artist"])
+    found = own.join(side, ["key", "part"]).filter(near).drop("part")
     w = Window.partitionBy("id").orderBy(F.col("score").desc_nulls_last(), "rec_id")
-    return rare.unionByName(hot.select(rare.columns)).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
+    return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
 
 
 def pick_release(releases: Column, album: Column, fold: dict[str, str] | None = None) -> Column:

@@ -227,6 +227,16 @@ def test_decide(spark):
     assert decided(spark, [(70, 0.2, 0.0, None)]) == [("r0", "fuzzy")] and decided(spark, [(69, 0.2, 0.0, None)]) == []
 
 
+def test_hot_titles_are_searched_by_the_same_rule(spark, monkeypatch):
+    monkeypatch.setattr(en, "COMMON", 2)
+    cat = spark.createDataFrame([(f"r{k}", "Intro", 100 - k, [(a,)] if a else []) for k, a in enumerate(("Anna", "Bob", "", "Carl", "Dora"))], "rec_id string, title string, score int, artists array<struct<name:string>>")
+    own = files(spark, {"id": 1, "title": "Intro"}, {"id": 2, "title": "Intro", "artist": "Anna feat. Carl"}, {"id": 3, "title": "intro", "artist": "Bob"})
+    got = {}
+    for r in en.search(own, cat).collect():
+        got.setdefault(r["id"], set()).add(r["rec_id"])
+    assert got == {1: {"r0", "r1", "r2", "r3", "r4"}, 2: {"r0", "r2", "r3"}, 3: {"r1", "r2"}}
+
+
 def test_enrich_end_to_end(spark):
     own = files(spark, {"id": 1, "title": "Song One", "artist": "Band", "album": "Blue", "duration": 100.0, "track_number": 2}, {"id": 2, "title": None})
     cat = spark.createDataFrame([("r1", "song one!", 95, 100_400, None, [("Band",)], [("Rock", 1), ("Pop", 9)], [("a", "Blue", "Official", "2001-05", 2), ("b", "Blue", "Official", "1999", 2)]), ("r2", "Song One", 60, 300_000, None, [("Other",)], [], [])], f"rec_id string, title string, score int, length_ms bigint, duration_s double, artists array<struct<name:string>>, genres array<struct<name:string,count:int>>, releases {RELEASE}")
