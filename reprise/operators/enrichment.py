@@ -121,7 +121,7 @@ def lookup_error(code: Column, message: Column, status: Column, n_results: Colum
 
 def enrich(files: DataFrame, catalogue: DataFrame, fold: dict[str, str] | None = None) -> DataFrame:
     """E15 without a network: search, score, decide and refine for all files in one plan."""
-    ranked, _ = cut(candidates(search(files, catalogue), fold))
+    ranked = cut(candidates(search(files, catalogue), fold))
     return refined(decide(ranked), catalogue.select("rec_id", "releases"))
 
 

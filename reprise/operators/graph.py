@@ -5,34 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import Table
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, *observed) -> Table:
     """One round: the neighbours of each vertex are linked to its least neighbour, the larger or the smaller ones only."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # Stored first: both sides of the join then stand right behind their shuffles, so that a hot vertex can be split.
+    stored = Table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+    least = stored.df
     linked = both.join(least, "a")
     if large:
         out = linked.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+    after = Table(out.filter("a <> b").distinct(), *observed)
+    stored.drop()
+    return after
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (id, component) of all vertices with an edge to another one; the component is its least id.
 
-    Null ends, loops and repeated edges change nothing; no edges give an empty table. Each round's table is
-    written to the shared folder, so nothing is recomputed when an executor is lost, and only its row count and a
+    Null ends, loops and repeated edges change nothing; no edges give an empty table. Each round's tables are
+    written to the shared folder, so nothing is recomputed when an executor is lost, and only a row count and a
     checksum come to the driver. Stars keep the number of rows at that of the edges; min is combined before the
     shuffle, and a hot vertex is joined to a single row, which adaptive execution can split.
     """
     seen = (F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"))
-    state, before = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), *seen)
-    while True:
-        state, after = cut(_star(cut(_star(state, True))[0], False), *seen)
-        if (after["n"], after["x"]) == (before["n"], before["x"]):
-            break
-        before = after
-    return state.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(state.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    state = Table(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), *seen)
+    stable = False
+    while not stable:
+        half = _star(state.df, True)
+        after = _star(half.df, False, *seen)
+        stable = (after.seen["n"], after.seen["x"]) == (state.seen["n"], state.seen["x"])
+        half.drop()
+        state.drop()
+        state = after
+    return state.df.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(state.df.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

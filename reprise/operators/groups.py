@@ -179,4 +179,4 @@ def match(files: DataFrame, lanes: list[DataFrame], members: DataFrame | None =
     edges = lanes[0].select("a", "b")
     for lane in lanes[1:]:
         edges = edges.unionByName(lane.select("a", "b"))
-    return build(files, cut(edges.distinct())[0], existing_edges(members) if members is not None else None)
+    return build(files, cut(edges.distinct()), existing_edges(members) if members is not None else None)

@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of this application within the one all executors share (``spark.checkpoint.dir``); a folder of our
-    own only where that is unset. ``clear`` removes it."""
+    """The folder of this application within the one all executors share (``spark.checkpoint.dir``). ``clear`` removes it.
+
+    Where that is unset, a folder of our own serves a session in one process; on a cluster, whose executors could not
+    read each other's folders, it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="reprise-"))
         found = spark.sparkContext.getCheckpointDir()
     return f"{found}/reprise-{spark.sparkContext.applicationId}"
@@ -29,12 +34,28 @@ def clear(spark: SparkSession) -> None:
     remove(spark, shared_dir(spark))
 
 
-def cut(df: DataFrame, *observed) -> tuple[DataFrame, dict]:
-    """``df`` written to the shared folder and read back, with the values of aggregates observed on the way."""
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    watch = Observation() if observed else None
-    (df.observe(watch, *observed) if watch else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), (watch.get if watch else {})
+class Table:
+    """A table written to the shared folder, so that its lineage ends there and lost executors cost nothing.
+
+    ``df`` reads it; ``seen`` holds the values of the aggregate columns observed during the write; ``drop``
+    removes the files once nothing reads them any more.
+    """
+
+    def __init__(self, df: DataFrame, *observed) -> None:
+        spark = df.sparkSession
+        self.path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+        watch = Observation() if observed else None
+        (df.observe(watch, *observed) if watch else df).write.parquet(self.path)
+        self.seen = watch.get if watch else {}
+        self.df = spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        remove(self.df.sparkSession, self.path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    return Table(df).df
 
 
 class Versions:

@@ -45,10 +45,10 @@ def run(library: Library, lanes: tuple[str, ...] = LANES, config: Config = Confi
     ``seeded``: the groups of earlier runs link their members too, and their method tags are carried over where the
     members are the same. The id of a group is its least member, so it is stable from run to run.
     """
-    files, _ = cut(library.live_files("path", "title", "artist", "album", "genre", "album_year", "track_number", "release_type", "format", "bitrate", "duration", "size", "fingerprint", "fingerprint_method", "fingerprint_duration", "chromaprint_raw"))
-    pairs, _ = cut(evidence_pairs(files, library.enrichment(), lanes, config))
+    files = cut(library.live_files("path", "title", "artist", "album", "genre", "album_year", "track_number", "release_type", "format", "bitrate", "duration", "size", "fingerprint", "fingerprint_method", "fingerprint_duration", "chromaprint_raw"))
+    pairs = cut(evidence_pairs(files, library.enrichment(), lanes, config))
     old = library.members() if seeded else None
-    members, _ = cut(gr.build(files, pairs.filter("accepted"), ma.existing_edges(old) if seeded else None))
+    members = cut(gr.build(files, pairs.filter("accepted"), ma.existing_edges(old) if seeded else None))
     a = members.select(F.col("file_id").alias("a"), "group_id")
     b = members.select(F.col("file_id").alias("b"), F.col("group_id").alias("other"))
     inside = pairs.join(a, "a").join(b, "b").filter("group_id = other")

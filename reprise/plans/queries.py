@@ -306,15 +306,15 @@ def exact_groups(l):
 @query("full_match")
 def full_match(l):
     """All lanes together with the groups of earlier runs."""
-    rows, _ = st.cut(lib.live(l.live_files("title", "artist", "path", "duration", "deleted", "fingerprint", "fingerprint_method", "fingerprint_duration")))
+    rows = st.cut(lib.live(l.live_files("title", "artist", "path", "duration", "deleted", "fingerprint", "fingerprint_method", "fingerprint_duration")))
     lanes = [ma.attribute_lane(rows), ma.fingerprint_lane(rows).filter("accepted"), ma.enrichment_lane(rows, l.enrichment())]
     return gr.match(rows, lanes, l.members())
 
 
 @query("group_evidence")
 def group_evidence(l):
-    rows, _ = st.cut(lib.live(l.live_files("title", "artist", "path", "duration", "deleted", "fingerprint", "fingerprint_method", "fingerprint_duration")))
-    pairs, _ = st.cut(ma.fingerprint_lane(rows))
+    rows = st.cut(lib.live(l.live_files("title", "artist", "path", "duration", "deleted", "fingerprint", "fingerprint_method", "fingerprint_duration")))
+    pairs = st.cut(ma.fingerprint_lane(rows))
     found = gr.evidence(gr.build(rows, pairs.filter("accepted")), pairs, ["exact", "accepted"])
     return found.select("group_id", gr.percent(F.col("max_sim")).alias("similarity"), "exact", "accepted")
 

@@ -63,3 +63,26 @@ def agree():
         assert rows_of(ours) == rows_of(theirs)
 
     return check
+
+
+@pytest.fixture
+def split_plans(spark):
+    """Runs a function with low thresholds for skew, and counts its plans with a join that was split for it."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.maxPartitionBytes": "50000",
+    }
+
+    def run(job):
+        store = spark._jsparkSession.sharedState().statusStore()
+        before = store.executionsCount()
+        job()
+        said = store.executionsList()
+        return sum("skew=true" in said.apply(i).physicalPlanDescription() for i in range(before, said.size()))
+
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield run
+    for k, v in old.items():
+        spark.conf.set(k, v)

@@ -314,3 +314,10 @@ def test_trash_and_cascade(spark):
 def test_config():
     c = Config(threshold=0.95, retention_order=("meta_best",))
     assert Config.from_json(c.to_json()) == c and Config.from_json("") == Config() and Config.from_json('{"unknown": 1}') == Config()
+
+
+def test_a_hot_vertex_is_split(spark, split_plans):
+    """Half of all edges at one vertex: adaptive execution splits their join."""
+    hot = spark.range(1, 40_000).select(F.lit(0).cast("bigint").alias("a"), F.col("id").alias("b"))
+    edges = hot.unionByName(spark.range(40_000, 120_000, 2).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert split_plans(lambda: connected_components(edges).count()) > 0
