@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.storage import remove, shared_dir
+from ..operators.storage import Table as Stored  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,25 +13,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class Stored:
-    """A table written to the shared folder, so that its lineage ends there and lost executors cost nothing.
-
-    ``df`` reads it; ``seen`` holds the values of the aggregate columns observed during the write; ``drop``
-    removes the files once nothing reads them any more.
-    """
-
-    def __init__(self, df: DataFrame, *observed) -> None:
-        spark = df.sparkSession
-        self.path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-        watch = Observation() if observed else None
-        (df.observe(watch, *observed) if watch else df).write.parquet(self.path)
-        self.seen = watch.get if watch else {}
-        self.df = spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        remove(self.df.sparkSession, self.path)
-
-
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions: the cluster's own measure of its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

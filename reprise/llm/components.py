@@ -26,12 +26,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     seen = (F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("v", "u")).alias("x"))
     state = Stored(both.unionByName(both.select("v", F.col("v").alias("u"))).distinct(), *seen)
     while True:
-        least = state.df.groupBy("v").agg(F.min("u").alias("m"))
-        # The side with the clusters may be skewed; it is joined to one row per vertex, so AQE can split it.
-        sent = state.df.join(least, "v").select(
+        # Stored first: both sides of the join then stand right behind their shuffles, so that adaptive execution can
+        # split the cluster of a hot vertex, which meets a single row.
+        least = Stored(state.df.groupBy("v").agg(F.min("u").alias("m")))
+        sent = state.df.join(least.df, "v").select(
             F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("s")
         )
         after = Stored(sent.select("s.v", "s.u").distinct(), *seen)
+        least.drop()
         stable = (after.seen["n"], after.seen["x"]) == (state.seen["n"], state.seen["x"])
         state.drop()
         state = after

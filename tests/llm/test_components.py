@@ -3,6 +3,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from reprise.llm import components as C
 
 
@@ -55,3 +56,10 @@ def test_links_are_stars(spark):
 @pytest.mark.parametrize("name", list(C.ORACLES))
 def test_sql(spark, agree, small, name):
     agree(spark, C.QUERIES[name], C.ORACLES[name], small)
+
+
+def test_a_hot_vertex_is_split(spark, split_plans):
+    """Half of all links at one vertex: adaptive execution splits its cluster in the join."""
+    hot = spark.range(1, 40_000).select(F.lit(0).cast("bigint").alias("a"), F.col("id").alias("b"))
+    links = hot.unionByName(spark.range(40_000, 120_000, 2).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert split_plans(lambda: C.connected_components(links).count()) > 0
