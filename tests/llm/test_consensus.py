@@ -35,6 +35,28 @@ def test_progressive_alignment_of_texts(spark):
     assert {r["g"]: r["id"] for r in C.survivors(df, "g", "id", [field]).collect()} == {1: 1, 2: 7}
 
 
+def test_votes_of_all_trusts_add_up_and_weights_decide(spark):
+    """Seven plain bitrates outvote one of more trust, six do not; votes of complete records outweigh more incomplete ones."""
+    of = lambda n: [(1, k, 128, 3, 2000, "album") for k in range(n)] + [(1, 99, 320, 3, 2000, "album")]
+    bitrate = lambda rows, fields=None: next(r["tokens"] for r in C.consensus(spark.createDataFrame([(*r, "", "") for r in rows], MEMBERS), "group_id", fields or C.library_fields()).collect() if r["field"] == "bitrate")
+    assert bitrate(of(6)) == ["320"] and bitrate(of(7)) == ["128"]
+    plain = C.library_fields()[0]
+    assert bitrate(of(6), [C.Field("bitrate", plain.trust, plain.tokens, F.lit(1))]) == ["128"]
+    years = [(1, 1, 0, 0, 1990, ""), (1, 2, 0, 0, 1990, ""), (1, 3, 0, 6, 1991, "")]
+    got = C.consensus(spark.createDataFrame([(*r, "", "") for r in years], MEMBERS), "group_id", C.library_fields()).collect()
+    assert next(r["tokens"] for r in got if r["field"] == "album_year") == ["1991"]
+
+
+def test_weights_choose_the_survivor(spark):
+    """Neither member beats the other: the one nearer to the voted values survives, and they depend on the weights."""
+    rows = [(1, 1, 320, 1, 0, None)] + [(1, k, 160, 5, 0, None) for k in range(2, 12)]
+    assert picked(spark, rows) == {1: 2}
+    plain = C.library_fields()
+    few = [C.Field(plain[0].name, plain[0].trust, plain[0].tokens, F.when(F.col("bitrate") > 300, 10_000).otherwise(1)), C.Field(plain[1].name, plain[1].trust, plain[1].tokens, F.when(F.col("meta_score") == 1, 10_000).otherwise(1))]
+    df = spark.createDataFrame([(*r, "", "") for r in rows], MEMBERS)
+    assert {r["g"]: r["id"] for r in C.survivors(df, "group_id", "file_id", few).collect()} == {1: 1}
+
+
 def test_alignment_adds_up_votes():
     profile = C.align([{"a": 1}, {"b": 1}], [{"b": 2}])
     assert profile == [{"a": 1}, {"b": 3}] and C.elect(profile, 3) == ["b"]
