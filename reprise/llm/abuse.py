@@ -10,6 +10,7 @@ documents are scored; a document's score is that of its highest window.
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 import zlib
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import latest, table
+from .common import Stored, latest, table
 from .lookalikes import canonical
 
 #: Rated documents the network is trained on at most; the sample is by hash of the id.
@@ -93,6 +94,35 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+class Lexicon:
+    """Distinct words as arrays: the ``numbers`` of their own vectors (0 for none) and the buckets of their trigrams."""
+
+    def __init__(self, numbers: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.numbers, self.flat, self.sizes = numbers, flat, sizes
+        self.starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+
+    @staticmethod
+    def of(words: list[str], vocabulary: dict[str, int]) -> Lexicon:
+        found = [grams(w) for w in words]
+        sizes = np.array([len(g) for g in found], np.int64)
+        return Lexicon(np.array([vocabulary.get(w, 0) for w in words], np.int64), np.fromiter((x for g in found for x in g), np.int64, int(sizes.sum())), sizes)
+
+    def take(self, which: np.ndarray) -> Lexicon:
+        sizes = self.sizes[which]
+        at = np.repeat(self.starts[which] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(int(sizes.sum()))
+        return Lexicon(self.numbers[which], self.flat[at], sizes)
+
+
+def _added(rows: np.ndarray, to: np.ndarray, size: int) -> np.ndarray:
+    """The sums of ``rows`` by the place ``to`` which each belongs."""
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    order = np.argsort(to, kind="stable")
+    places = to[order]
+    edges = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1])))
+    out[places[edges]] = np.add.reduceat(rows[order], edges)
+    return out
+
+
 class Network:
     """Parameters ``p`` (arrays by name), the vocabulary, and the decision threshold."""
 
@@ -105,17 +135,10 @@ class Network:
             self.p |= {f"{way}W": draw(d, 3 * h), f"{way}U": draw(h, 3 * h), f"{way}c": np.zeros(3 * h, np.float32)}
         self.p |= {"A": draw(2 * h, h), "Ab": np.zeros(h, np.float32), "v": draw(h, 1)[:, 0], "o": draw(2 * h, 1)[:, 0], "ob": np.full(1, -1.0, np.float32)}
 
-    def _numbers(self, vocab: list[str], own: np.ndarray | None) -> np.ndarray:
-        found = np.array([self.vocabulary.get(w, 0) for w in vocab], np.int64)
-        return found if own is None else found * own
-
-    def vectors(self, vocab: list[str], own: np.ndarray | None = None) -> np.ndarray:
+    def vectors(self, lexicon: Lexicon, own: np.ndarray | None = None) -> np.ndarray:
         """Input vectors of distinct words; where ``own`` is false, by their letters alone."""
-        of = [grams(w) for w in vocab]
-        sizes = np.array([len(g) for g in of])
-        flat = np.fromiter((x for g in of for x in g), np.int64, int(sizes.sum()))
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        return self.p["word"][self._numbers(vocab, own)] + np.add.reduceat(self.p["gram"][flat], starts) / sizes[:, None]
+        numbers = lexicon.numbers if own is None else lexicon.numbers * own
+        return self.p["word"][numbers] + np.add.reduceat(self.p["gram"][lexicon.flat], lexicon.starts) / lexicon.sizes[:, None].astype(np.float32)
 
     def _read(self, x: np.ndarray, mask: np.ndarray, way: str, keep: list | None) -> np.ndarray:
         """States of one direction: ``x`` (time, rows, 3 * STATE) are the inputs' shares of the gates."""
@@ -123,8 +146,8 @@ class Network:
         out = np.empty((*x.shape[:2], STATE), np.float32)
         for t in range(len(x)) if way == "f" else range(len(x) - 1, -1, -1):
             g = h @ u
-            z = _sigmoid(x[t, :, :STATE] + g[:, :STATE])
-            r = _sigmoid(x[t, :, STATE : 2 * STATE] + g[:, STATE : 2 * STATE])
+            gates = _sigmoid(x[t, :, : 2 * STATE] + g[:, : 2 * STATE])
+            z, r = gates[:, :STATE], gates[:, STATE:]
             n = np.tanh(x[t, :, 2 * STATE :] + r * g[:, 2 * STATE :])
             m = mask[t][:, None]
             if keep is not None:
@@ -146,8 +169,8 @@ class Network:
             keep |= {"s": s, "a": a, "alpha": alpha, "pooled": pooled}
         return pooled @ self.p["o"] + self.p["ob"]
 
-    def gradients(self, vocab: list[str], rows: np.ndarray, mask: np.ndarray, wanted: np.ndarray, weight: np.ndarray, own: np.ndarray) -> dict[str, np.ndarray]:
-        x, keep, p = self.vectors(vocab, own), {}, self.p
+    def gradients(self, lexicon: Lexicon, rows: np.ndarray, mask: np.ndarray, wanted: np.ndarray, weight: np.ndarray, own: np.ndarray) -> dict[str, np.ndarray]:
+        x, keep, p = self.vectors(lexicon, own), {}, self.p
         logits = self.forward(x, rows, mask, keep)
         d = ((_sigmoid(logits) - wanted) * weight / weight.sum()).astype(np.float32)
         s, a, alpha, pooled = keep["s"], keep["a"], keep["alpha"], keep["pooled"]
@@ -161,7 +184,7 @@ class Network:
         out["A"] = np.einsum("tni,tnj->ij", s, dt)
         out["Ab"] = dt.sum((0, 1))
         ds += dt @ p["A"].T
-        dx = np.zeros_like(x)
+        dx, gates = np.zeros_like(x), []
         for k, way in enumerate("fb"):
             u, dh = p[f"{way}U"], np.zeros((rows.shape[1], STATE), np.float32)
             du, dgates = np.zeros_like(u), np.zeros((*rows.shape, 3 * STATE), np.float32)
@@ -176,78 +199,94 @@ class Network:
                 dgates[t] = np.concatenate([dz, dr, dn], axis=1)
                 du += h.T @ dg
                 dh = dh * (1 - m) + dm * z + dg @ u.T
-            flat = dgates.reshape(-1, 3 * STATE)
-            per_word = np.zeros((len(x), 3 * STATE), np.float32)
-            np.add.at(per_word, rows.ravel(), flat)
-            out |= {f"{way}U": du, f"{way}c": flat.sum(0), f"{way}W": x.T @ per_word}
-            dx += per_word @ p[f"{way}W"].T
-        out["word"] = np.zeros_like(p["word"])
-        np.add.at(out["word"], self._numbers(vocab, own), dx)
+            gates.append(dgates.reshape(-1, 3 * STATE))
+            out |= {f"{way}U": du, f"{way}c": gates[-1].sum(0)}
+        per_word = _added(np.concatenate(gates, axis=1), rows.ravel(), len(x))
+        for k, way in enumerate("fb"):
+            own_share = per_word[:, 3 * STATE * k : 3 * STATE * (k + 1)]
+            out[f"{way}W"] = x.T @ own_share
+            dx += own_share @ p[f"{way}W"].T
+        out["word"] = _added(dx, lexicon.numbers * own, len(p["word"]))
         out["word"][0] = 0
-        of = [grams(w) for w in vocab]
-        sizes = np.array([len(g) for g in of])
-        out["gram"] = np.zeros_like(p["gram"])
-        np.add.at(out["gram"], np.fromiter((g for o in of for g in o), np.int64, int(sizes.sum())), np.repeat(dx / sizes[:, None], sizes, axis=0))
+        out["gram"] = _added(np.repeat(dx / lexicon.sizes[:, None].astype(np.float32), lexicon.sizes, axis=0), lexicon.flat, GRAMS)
+        return out
+
+    def probabilities(self, x: np.ndarray, flat: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Of windows of the words ``flat``, from ``low`` to before ``high``; ``x`` are the vectors of distinct words."""
+        out = np.empty(len(low))
+        for at in range(0, len(low), 4096):
+            rows, mask = _grid(flat, low[at : at + 4096], high[at : at + 4096])
+            out[at : at + 4096] = _sigmoid(self.forward(x, rows, mask))
         return out
 
     def score(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Probability of each window of each text."""
         vocab: dict[str, int] = {}
-        numbered = [[vocab.setdefault(plain(w), len(vocab)) for w in t] for t in texts]
+        flat = np.array([vocab.setdefault(plain(w), len(vocab)) for t in texts for w in t], np.int64)
         if not vocab:
             return [np.zeros(0) for _ in texts]
-        x = self.vectors(list(vocab))
-        cuts = [(k, a, b) for k, t in enumerate(numbered) for a, b in windows(len(t))]
-        scores = np.empty(len(cuts))
-        for at in range(0, len(cuts), 4096):
-            part = cuts[at : at + 4096]
-            rows, mask = np.zeros((WINDOW, len(part)), np.int64), np.zeros((WINDOW, len(part)), np.float32)
-            for n, (k, a, b) in enumerate(part):
-                rows[: b - a, n], mask[: b - a, n] = numbered[k][a:b], 1
-            scores[at : at + len(part)] = _sigmoid(self.forward(x, rows, mask))
-        of = np.array([k for k, _, _ in cuts], np.int64)
+        of, low, high = _cuts([len(t) for t in texts])
+        scores = self.probabilities(self.vectors(Lexicon.of(list(vocab), self.vocabulary)), flat, low, high)
         return [scores[lo:hi] for lo, hi in zip(np.searchsorted(of, np.arange(len(texts))), np.searchsorted(of, np.arange(len(texts)), side="right"))]
 
 
+def _cuts(sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows of texts of these sizes that stand in a row: (text, first word, word after the last)."""
+    starts = np.concatenate(([0], np.cumsum(sizes))).tolist()
+    cuts = [(k, starts[k] + a, starts[k] + b) for k, n in enumerate(sizes) for a, b in windows(n)]
+    return tuple(np.array(cuts, np.int64).reshape(-1, 3).T)
+
+
+def _grid(flat: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(time, windows): the words of windows, and which places hold one."""
+    at = low + np.arange(WINDOW)[:, None]
+    mask = (at < high).astype(np.float32)
+    return flat[np.minimum(at, len(flat) - 1)], mask
+
+
 def train(sample: list[tuple[str, float]]) -> Network:
     """The network from (text, share of raters who found it abusive); no or one-sided ratings give one that flags nothing."""
-    texts = [words(t) for t, _ in sample]
+    texts = [[plain(w) for w in words(t)] for t, _ in sample]
     rated = np.array([y for _, y in sample]) > 0.5 if sample else np.zeros(0, bool)
-    seen = Counter(w for t in texts for w in {plain(x) for x in t})
-    vocabulary = {w: k for k, w in enumerate(sorted(w for w, n in seen.items() if n >= OWN), 1)}
-    net = Network(vocabulary)
+    seen = Counter(w for t in texts for w in set(t))
+    net = Network({w: k for k, w in enumerate(sorted(w for w, n in seen.items() if n >= OWN), 1)})
     if not rated.any() or rated.all():
         net.threshold = 2.0
         return net
     rng = np.random.default_rng(1)
     held = rng.random(len(texts)) < HELD_OUT
-    cuts = [(k, tuple(plain(w) for w in texts[k][a:b])) for k in np.flatnonzero(~held) for a, b in windows(len(texts[k]))]
-    of = np.array([k for k, _ in cuts], np.int64)
-    marked = seeds([c for _, c in cuts], of, rated)
-    wanted = (marked & rated[of]).astype(np.float32)
+    place = {w: k for k, w in enumerate(sorted(seen))}
+    lexicon = Lexicon.of(list(place), net.vocabulary)
+    used = np.flatnonzero(~held)
+    flat = np.array([place[w] for k in used for w in texts[k]], np.int64)
+    of, low, high = _cuts([len(texts[k]) for k in used])
+    if not len(of):
+        net.threshold = 2.0
+        return net
+    marked = seeds(flat, np.repeat(np.arange(len(used)), [len(texts[k]) for k in used]), low, high, rated[used])
+    rude = rated[used][of]
+    wanted = (marked & rude).astype(np.float32)
     # Other windows of documents rated abusive are left open at first; wrong ratings of others are outvoted.
-    weight = np.where(rated[of] & ~marked, 0.0, 1.0).astype(np.float32)
+    weight = np.where(rude & ~marked, 0.0, 1.0).astype(np.float32)
     moment = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
-    step, hard = 0, np.zeros(len(cuts))
+    step, hard = 0, np.zeros(len(of))
+    mean, counted = {k: np.zeros_like(v) for k, v in net.p.items()}, 0
     for turn in range(ROUNDS):
         positive, negative = np.flatnonzero((wanted > 0) & (weight > 0)), np.flatnonzero((wanted == 0) & (weight > 0))
         if not len(positive) or not len(negative):
             break
-        for _ in range(PASSES):
+        for lap in range(PASSES):
             # Abusive windows are few: others are drawn, those scored higher before more often.
             chance = (0.1 + hard[negative]) / (0.1 + hard[negative]).sum()
             drawn = rng.choice(negative, min(len(negative), max(NEGATIVES, 4 * len(positive))), replace=False, p=chance)
             order = rng.permutation(np.concatenate([positive, drawn]))
             for at in range(0, len(order), STEP):
                 part = order[at : at + STEP]
-                vocab: dict[str, int] = {}
-                rows, mask = np.zeros((WINDOW, len(part)), np.int64), np.zeros((WINDOW, len(part)), np.float32)
-                for n, k in enumerate(part):
-                    ws = cuts[k][1]
-                    rows[: len(ws), n], mask[: len(ws), n] = [vocab.setdefault(w, len(vocab)) for w in ws], 1
+                rows, mask = _grid(flat, low[part], high[part])
+                vocab, inverse = np.unique(rows, return_inverse=True)
                 # Words of their own are sometimes read by their letters alone, as new ones will be.
-                found = net.gradients(list(vocab), rows, mask, wanted[part], weight[part], rng.random(len(vocab)) > 0.15)
+                found = net.gradients(lexicon.take(vocab), inverse.reshape(rows.shape), mask, wanted[part], weight[part], rng.random(len(vocab)) > 0.15)
                 step += 1
                 rate = RATE * min(1.0, step / 50) / (1 + turn)
                 for name, g in found.items():
@@ -255,35 +294,46 @@ def train(sample: list[tuple[str, float]]) -> Network:
                     moment[name] += 0.1 * (g - moment[name])
                     square[name] += 0.001 * (g * g - square[name])
                     net.p[name] -= rate * ((moment[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.999**step)) + 1e-8) + DECAY * net.p[name])
-        hard = np.concatenate(net.score([list(c) for _, c in cuts]))
-        agreed = rated[of] & (marked | (hard > 0.8))
+                if turn == ROUNDS - 1 and lap:
+                    counted += 1
+                    for name, v in net.p.items():
+                        mean[name] += (v - mean[name]) / counted
+        # The mean of the last passes' parameters varies less from sample to sample than the last ones.
+        net.p = mean if counted else net.p
+        hard = net.probabilities(net.vectors(lexicon), flat, low, high)
+        agreed = rude & (marked | (hard > 0.8))
         wanted = agreed.astype(np.float32)
         # What the network doubts in documents rated abusive stays open; what it is sure of in others counts less.
-        weight = np.where(rated[of], np.where(agreed | (hard < 0.05), 1.0, 0.0), np.where(hard > 0.98, 0.3, 1.0)).astype(np.float32)
+        weight = np.where(rude, np.where(agreed | (hard < 0.05), 1.0, 0.0), np.where(hard > 0.98, 0.3, 1.0)).astype(np.float32)
     scores = np.array([s.max() if len(s) else 0.0 for s in net.score([t for t, h in zip(texts, held) if h])])
     net.threshold = _threshold(scores, rated[held])
     return net
 
 
-def seeds(cuts: list[tuple[str, ...]], of: np.ndarray, rated: np.ndarray) -> np.ndarray:
+def seeds(flat: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray, rated: np.ndarray) -> np.ndarray:
     """Windows with a phrase of one to three words that stands in documents rated abusive far too often for chance."""
-    share = rated[np.unique(of)].mean()
-    where: dict[tuple[str, ...], set[int]] = {}
-    for k, ws in zip(of.tolist(), cuts):
-        for n in (1, 2, 3):
-            for a in range(len(ws) - n + 1):
-                where.setdefault(ws[a : a + n], set()).add(k)
-    telling = set()
-    for phrase, docs in where.items():
-        if len(docs) >= 3:
-            hit = int(rated[list(docs)].sum())
-            # The chance of so many or more among as many documents, by the Chernoff bound.
-            p = hit / len(docs)
-            if p >= 0.75 and p > share:
-                apart = p * np.log(p / share) + ((1 - p) * np.log((1 - p) / (1 - share)) if p < 1 else 0.0)
-                if len(docs) * apart > SEED_ODDS:
-                    telling.add(phrase)
-    return np.array([any(ws[a : a + n] in telling for n in (1, 2, 3) for a in range(len(ws) - n + 1)) for ws in cuts], bool)
+    share = rated[np.unique(doc)].mean()
+    found, phrase = np.zeros(len(low), bool), np.zeros(len(flat), np.int64)
+    for n in (1, 2, 3):
+        # The phrases of n words are numbered by those of n - 1 and the next word.
+        size = len(flat) - n + 1
+        if size <= 0:
+            break
+        phrase = np.unique(phrase[:size] * (int(flat.max()) + 1) + flat[n - 1 :], return_inverse=True)[1]
+        inside = np.flatnonzero(doc[:size] == doc[n - 1 :])
+        pairs = np.unique(np.stack([phrase[inside], doc[inside]]), axis=1)
+        docs, hits = np.bincount(pairs[0], minlength=int(phrase.max()) + 1), np.bincount(pairs[0], weights=rated[pairs[1]], minlength=int(phrase.max()) + 1)
+        # The chance of so many or more among as many documents, by the Chernoff bound.
+        p = hits / np.maximum(docs, 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            apart = p * np.log(p / share) + np.where(p < 1, (1 - p) * np.log((1 - p) / (1 - share)), 0.0)
+        telling = (docs >= 3) & (p >= 0.75) & (p > share) & (docs * np.nan_to_num(apart) > SEED_ODDS)
+        starts = np.zeros(len(flat) + 1, np.int64)
+        starts[1:][inside] = telling[phrase[inside]]
+        starts = np.cumsum(starts)
+        last = np.maximum(high - n + 1, low)
+        found |= starts[last] > starts[low]
+    return found
 
 
 def _threshold(scores: np.ndarray, rated: np.ndarray) -> float:
@@ -294,13 +344,34 @@ def _threshold(scores: np.ndarray, rated: np.ndarray) -> float:
     return float(best[len(best) // 2])
 
 
-def sample_of(docs: DataFrame, labels: DataFrame) -> list[tuple[str, float]]:
-    """At most ``LABELLED`` rated documents with the share of raters who found them abusive; ties in rating stay out."""
-    rated = labels.select("doc_id", "rater", "abusive").filter("abusive IS NOT NULL AND doc_id IS NOT NULL").distinct()
+def sample_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most ``LABELLED`` rated documents: rows (doc_id, text, share of raters who found them abusive); ties in rating stay out."""
+    rated = table(spark, sf_dir, "doc_labels").select("doc_id", "rater", "abusive").filter("abusive IS NOT NULL AND doc_id IS NOT NULL").distinct()
     share = rated.groupBy("doc_id").agg(F.avg("abusive").alias("share")).filter("share <> 0.5")
-    taken = share.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    rows = docs.select("doc_id", "text").filter((F.col("text") != "") & (F.length("text") <= LONGEST)).join(taken, "doc_id").select("doc_id", "text", "share").collect()  # bounded: LABELLED rows
-    return [(r["text"], float(r["share"])) for r in sorted(rows, key=lambda r: r["doc_id"])]
+    taken = F.broadcast(share.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED))  # bounded: LABELLED rows
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "ingested_at").join(taken, "doc_id")
+    last = docs.groupBy("doc_id").agg(F.max(F.struct("ingested_at", "text", "share")).alias("s")).select("doc_id", "s.text", "s.share")
+    return last.filter((F.col("text") != "") & (F.length("text") <= LONGEST))
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted(row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "share"))))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([(text, share) for _, text, share in rows]))], pa.binary())], ["network"])
+
+
+def network_of(sample: DataFrame) -> Network:
+    """The network trained on a bounded sample, by one task; trained once a session for each sample and these settings."""
+    spark = sample.sparkSession
+    held = Stored(sample, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id", "text", "share")).alias("x"))
+    key = (held.seen["n"], held.seen["x"])
+    known = spark.sparkContext.__dict__.setdefault("_reprise_networks", {})
+    if key not in known:
+        if not key[0]:
+            known[key] = train([])
+        else:
+            known[key] = pickle.loads(held.df.repartition(1).mapInArrow(_fit, "network binary").first()["network"])
+    held.drop()
+    return known[key]
 
 
 def scores(docs: DataFrame, net: Network) -> DataFrame:
@@ -316,10 +387,9 @@ def scores(docs: DataFrame, net: Network) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, score double")
 
 
-def _scored(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[DataFrame, Network]:
-    docs = latest(spark, sf_dir, "documents", "doc_id", "ingested_at", "text")
-    net = train(sample_of(docs, table(spark, sf_dir, "doc_labels")))
-    return scores(docs, net), net
+def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Network]:
+    net = network_of(sample_of(spark, sf_dir))
+    return scores(latest(spark, sf_dir, "documents", "doc_id", "ingested_at", "text"), net), net
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

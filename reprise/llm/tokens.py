@@ -27,7 +27,7 @@ from .common import latest
 FOLDER = os.environ.get("REPRISE_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pattern that splits a text before any merge.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words a worker remembers before it starts anew.
+#: Words, and pairs of tokens, a worker remembers before it starts anew.
 REMEMBERED = 400_000
 
 
@@ -121,6 +121,8 @@ class BytePairs:
         split = [self.split(t) if t else [] for t in texts]
         if len(self.words) > REMEMBERED:
             self.words.clear()
+        if len(self.pairs) > REMEMBERED:
+            self.pairs, self.valid = self.pairs[:0], self.valid[:0]
         if new := set(chain.from_iterable(split)) - self.words.keys():
             self.learn(new)
         return [list(chain.from_iterable(map(self.words.__getitem__, words))) for words in split]

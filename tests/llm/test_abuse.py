@@ -41,13 +41,13 @@ def test_gradients():
     rng = np.random.default_rng(0)
     net = A.Network({"aa": 1, "bb": 2})
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    vocab = ["aa", "bb", "cc"]
+    vocab = A.Lexicon.of(["aa", "bb", "cc"], net.vocabulary)
     rows, mask = rng.integers(0, 3, (5, 4)), np.ones((5, 4), np.float32)
     mask[3:, 1] = 0
     wanted, weight, own = np.array([1.0, 0, 1, 0]), np.array([1.0, 2, 1, 0.5]), np.ones(3, bool)
     loss = lambda: float((weight * np.logaddexp(0, np.where(wanted > 0, -1, 1) * net.forward(net.vectors(vocab, own), rows, mask))).sum() / weight.sum())
     found = net.gradients(vocab, rows, mask, wanted, weight, own)
-    for name in ("fW", "fU", "bU", "fc", "A", "v", "o", "ob", "word"):
+    for name in ("fW", "fU", "bU", "bW", "fc", "A", "v", "o", "ob", "word", "gram"):
         flat, grad = net.p[name].reshape(-1), np.asarray(found[name]).reshape(-1)
         k = int(np.argmax(np.abs(grad)))
         old = flat[k]
@@ -81,11 +81,38 @@ def test_one_sided_or_no_ratings_flag_nothing(spark):
     assert A.scores(docs.limit(0), A.train([])).collect() == []
 
 
-def test_sample_is_bounded_and_fair(spark, monkeypatch):
+def test_sample_is_bounded_and_fair(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(A, "LABELLED", 5)
-    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id bigint, text string")
-    labels = spark.createDataFrame([(i, r, i % 2, None) for i in range(20) for r in "ab"] + [(1, "c", None, None), (None, "a", 1, None)], "doc_id bigint, rater string, abusive int, text string")
-    assert len(A.sample_of(docs, labels)) == 5
+    spark.createDataFrame([(i, f"text {i}", None, 1) for i in range(20)], "doc_id bigint, text string, ingested_at timestamp, share int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, r, i % 2, None) for i in range(20) for r in "ab"] + [(1, "c", None, None), (None, "a", 1, None)], "doc_id bigint, rater string, abusive int, text string").write.parquet(f"{tmp_path}/doc_labels.parquet")
+    assert A.sample_of(spark, str(tmp_path)).count() == 5
+
+
+def test_trained_once_a_session(spark, monkeypatch):
+    sample = spark.createDataFrame([(i, CALM[i % 8] + (RUDE[i % 4] if i % 5 == 0 else ""), float(i % 5 == 0)) for i in range(60)], "doc_id bigint, text string, share double")
+    net = A.network_of(sample)
+    assert 0 < net.threshold < 1 and A.network_of(sample) is net
+    assert A.network_of(sample.limit(0)).threshold > 1
+
+
+def test_seeds_by_brute_force():
+    rng = random.Random(3)
+    texts = [[rng.randrange(6) for _ in range(rng.randrange(1, 40))] + ([7, 8, 9] if k % 3 == 0 else []) for k in range(40)]
+    rated = np.array([k % 3 == 0 for k in range(40)])
+    flat, doc = np.array([w for t in texts for w in t]), np.repeat(np.arange(40), [len(t) for t in texts])
+    of, low, high = A._cuts([len(t) for t in texts])
+    got = A.seeds(flat, doc, low, high, rated)
+    telling, share = set(), rated.mean()
+    for n in (1, 2, 3):
+        for g in {tuple(t[a : a + n]) for t in texts for a in range(len(t) - n + 1)}:
+            docs = [k for k, t in enumerate(texts) if any(tuple(t[a : a + n]) == g for a in range(len(t) - n + 1))]
+            p = rated[docs].mean()
+            if len(docs) >= 3 and p >= 0.75:
+                apart = p * np.log(p / share) + ((1 - p) * np.log((1 - p) / (1 - share)) if p < 1 else 0)
+                if len(docs) * apart > A.SEED_ODDS:
+                    telling.add(g)
+    want = [any(tuple(flat[a : a + n]) in telling for n in (1, 2, 3) for a in range(lo, hi - n + 1)) for lo, hi in zip(low, high)]
+    assert got.any() and got.tolist() == want
 
 
 def test_corpus(spark, small):
