@@ -116,6 +116,39 @@ def sliding_similarities(x: pa.ListArray, y: pa.ListArray) -> np.ndarray:
     return out
 
 
+#: Of the keys of half words one in so many, by its own value, is kept.
+KEPT_KEYS = 4
+
+
+def half_word_keys(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists in a row: (list, key) of a choice of all pairs of halves of two words that follow one another.
+
+    Lists in which every word differs by one bit still share a half of each word, and so a key at every place: of 120
+    words about 30 keys are chosen. A key of two zero halves is 0, always chosen, and shared by all silent lists.
+    """
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    inside = of[1:] == of[:-1]
+    halves = [w.astype(np.uint64) for w in (words & np.uint32(0xFFFF), words >> np.uint32(16))]
+    keys = [(a[:-1][inside] << np.uint64(16) | b[1:][inside]) for a in halves for b in halves]
+    tagged = np.concatenate([np.where(k == 0, np.uint64(0), k | np.uint64(n) << np.uint64(32)) for n, k in enumerate(keys)])
+    where = np.tile(of[:-1][inside], 4)
+    kept = (tagged == 0) | ((tagged * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(KEPT_KEYS) == 0
+    pairs = np.unique(np.stack([where[kept], tagged[kept].astype(np.int64)]), axis=1)
+    return pairs[0], pairs[1]
+
+
+def with_half_word_keys(rows: DataFrame, words: str) -> DataFrame:
+    """Rows (id, own, and a word list) to (id, own, key)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, _, sizes = _lists(batch.column(2))
+            of, keys = half_word_keys(flat, sizes)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(keys)], ["id", "own", "key"])
+
+    return rows.select("id", "own", words).mapInArrow(run, "id bigint, own int, key bigint")
+
+
 def score_pairs(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """Adds ``name``: the sliding similarity of the word lists in columns ``a`` and ``b`` (null lists score 0)."""
 
@@ -133,13 +166,15 @@ def score_pairs(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
 def title_fingerprint_similarity(title_a: Column, title_b: Column, seconds_a: Column, seconds_b: Column, compat: bool = False) -> Column:
     """M7: similarity of fingerprints made from tags: of the titles where durations agree within 8 s, at most 0.96.
 
-    ``compat`` compares the written durations instead, as the original does by an oversight.
+    ``compat`` compares the written whole durations instead, as the original does by an oversight.
     """
-    sim = edit_similarity(seconds_a.cast("string"), seconds_b.cast("string")) if compat else edit_similarity(normalize(title_a), normalize(title_b))
+    text = lambda s: F.floor(F.coalesce(s, F.lit(0.0)) + 0.5).cast("string")
+    sim = edit_similarity(text(seconds_a), text(seconds_b)) if compat else edit_similarity(normalize(title_a), normalize(title_b))
     near = F.lit(True) if compat else F.abs(seconds_a - seconds_b) <= 8
     return F.when(near & (sim >= 0.75), F.least(sim, F.lit(0.96))).otherwise(0.0)
 
 
 def fingerprint_similarity(method_a: Column, method_b: Column, equal: Column, spectral: Column, tagged: Column) -> Column:
-    """M6: which similarity applies to two fingerprints."""
-    return F.when(method_a.isNull() | method_b.isNull(), 0.0).when(equal, 1.0).when((method_a == "metadata") & (method_b == "metadata"), tagged).when((method_a == "metadata") | (method_b == "metadata"), 0.0).otherwise(spectral)
+    """M6: which similarity applies to two fingerprints, one of which may be made from tags (method 'metadata')."""
+    a, b = (F.coalesce(m == "metadata", F.lit(False)) for m in (method_a, method_b))
+    return F.when(a & b, tagged).when(a | b, 0.0).when(equal, 1.0).otherwise(spectral)

@@ -45,6 +45,14 @@ def representative(members: DataFrame, files: DataFrame) -> DataFrame:
     return rows.groupBy("group_id").agg(best, F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("total")).select("group_id", (-F.col("best.less")).alias("keep_id"), "n_files", (F.col("total") - F.col("best.size")).alias("reclaimable"))
 
 
+def equal_groups(files: DataFrame, key: Column) -> DataFrame:
+    """J12, C5, C7 of equal keys alone: such groups are disjoint, so one aggregation by the key's digest forms and describes them."""
+    rows = files.select(F.xxhash64(key).alias("k1"), F.xxhash64(F.lit(7), key).alias("k2"), "id", F.coalesce("bitrate", F.lit(0)).alias("bitrate"), F.coalesce("size", F.lit(0)).alias("size"))
+    best = F.max(F.struct("bitrate", (-F.col("id")).alias("less"), "size")).alias("best")
+    found = rows.groupBy("k1", "k2").agg(F.min("id").alias("group_id"), best, F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("total")).filter("n_files > 1")
+    return found.select("group_id", (-F.col("best.less")).alias("keep_id"), "n_files", (F.col("total") - F.col("best.size")).alias("reclaimable"))
+
+
 def confirmed_by_one_recording(members: DataFrame, enrichment: DataFrame, source: str = "musicbrainz") -> DataFrame:
     """C4: groups in which two or more members have a recording id and all have the same."""
     ids = enrichment.filter((F.col("source") == source) & (F.col("mb_recording_id") != "")).select("file_id", "mb_recording_id")

@@ -282,6 +282,25 @@ def duration_scores(l):
     return rows.select("file_id", "source", sim.duration_score(F.col("duration"), F.col("said")).alias("score"))
 
 
+_KINDS = """s AS (SELECT group_id, min(file_id) AS a FROM m GROUP BY group_id),
+p AS (SELECT DISTINCT s.a, m.file_id AS b FROM s JOIN m USING (group_id) WHERE m.file_id <> s.a),
+k AS (SELECT id, fingerprint AS w, coalesce(fingerprint_method = 'metadata', false) AS tagged, floor(coalesce(fingerprint_duration, 0) + 0.5)::BIGINT::VARCHAR AS d FROM f),
+x AS (SELECT p.a, p.b, u.w AS uw, v.w AS vw, u.tagged AS ut, v.tagged AS vt, u.d AS ud, v.d AS vd FROM p JOIN k u ON u.id = p.a JOIN k v ON v.id = p.b),
+o AS (SELECT a, b, o, list_slice(uw, greatest(0, o) + 1, len(uw)) AS i, list_slice(vw, greatest(0, -o) + 1, len(vw)) AS j FROM x, range(-8, 9) r(o) WHERE NOT ut AND NOT vt AND uw IS NOT NULL AND vw IS NOT NULL),
+h AS (SELECT a, b, o, least(len(i), len(j)) AS n, 32 * least(len(i), len(j)) - list_sum(list_transform(range(1, least(len(i), len(j)) + 1), lambda q: bit_count(xor(i[q], j[q])))) AS bits FROM o WHERE least(len(i), len(j)) >= 20),
+z AS (SELECT a, b, arg_max(bits / (32.0 * n), bits * 100 - o) AS sim FROM h GROUP BY a, b)"""
+
+
+@query("fingerprint_kinds", with_("f m", _KINDS) + """SELECT x.a, x.b, round(CASE WHEN ut AND vt THEN CASE WHEN 1 - levenshtein(ud, vd) / greatest(length(ud), length(vd)) >= 0.75 THEN least(1 - levenshtein(ud, vd) / greatest(length(ud), length(vd)), 0.96) ELSE 0 END
+WHEN ut OR vt OR uw IS NULL OR vw IS NULL THEN 0 WHEN uw = vw THEN 1 ELSE coalesce(z.sim, 0) END, 6)::DOUBLE AS sim FROM x LEFT JOIN z ON z.a = x.a AND z.b = x.b""")
+def fingerprint_kinds(l):
+    """M5-M7 over the members of groups and their least one: words with words, tags with tags, neither with the other kind."""
+    rows = l.files("fingerprint", "fingerprint_method", "fingerprint_duration", "title")
+    pairs = sim.score_pairs(ma._both(ma.existing_edges(l.members()), rows, "fingerprint", "fingerprint_method", "fingerprint_duration", "title").withColumns({"equal": F.coalesce(F.col("fingerprint_a") == F.col("fingerprint_b"), F.lit(False)), "lacks": F.col("fingerprint_a").isNull() | F.col("fingerprint_b").isNull()}), "fingerprint_a", "fingerprint_b", "spectral")
+    tagged = sim.title_fingerprint_similarity(F.col("title_a"), F.col("title_b"), F.col("fingerprint_duration_a"), F.col("fingerprint_duration_b"), True)
+    return pairs.select("a", "b", F.round(sim.fingerprint_similarity(F.col("fingerprint_method_a"), F.col("fingerprint_method_b"), F.col("equal"), F.when(F.col("lacks"), 0.0).otherwise(F.col("spectral")), tagged), 6).alias("sim")).distinct()
+
+
 # --- groups -----------------------------------------------------------------------------------------------------------
 
 _ROOTS = """j AS (SELECT DISTINCT x.file_id AS a, y.file_id AS b FROM m x JOIN m y ON x.group_id = y.group_id AND x.file_id <> y.file_id),
@@ -298,9 +317,8 @@ _EXACT = "k AS (SELECT fingerprint, count(*) AS n, min(id) AS group_id, sum(coal
 
 @query("exact_groups", with_("f", _EXACT) + "SELECT k.group_id, (SELECT f.id FROM f WHERE NOT f.deleted AND f.fingerprint = k.fingerprint ORDER BY coalesce(f.bitrate, 0) DESC, f.id LIMIT 1) AS keep_id, k.n AS n_files, (k.total - (SELECT coalesce(f.size, 0) FROM f WHERE NOT f.deleted AND f.fingerprint = k.fingerprint ORDER BY coalesce(f.bitrate, 0) DESC, f.id LIMIT 1))::BIGINT AS reclaimable FROM k")
 def exact_groups(l):
-    rows = lib.live(l.live_files("fingerprint", "bitrate", "size", "deleted")).filter(F.size("fingerprint") > 0)
-    edges = ma.star_edges(rows, F.concat_ws(" ", "fingerprint"))
-    return gr.representative(gr.build(rows, edges), rows).orderBy(F.desc("reclaimable"), "group_id")
+    rows = l.files("fingerprint", "bitrate", "size", where="NOT deleted AND size(fingerprint) > 0")
+    return gr.equal_groups(rows, F.col("fingerprint")).orderBy(F.desc("reclaimable"), "group_id")
 
 
 @query("full_match")

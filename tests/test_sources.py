@@ -96,6 +96,71 @@ def test_fingerprints_of_odd_sounds(spark):
     assert {r["id"]: r["fingerprint_method"] for r in audio.fingerprints(df).collect()} == {1: "metadata", 2: None}
 
 
+def words_by_hand(sound):
+    """The fingerprint one sample at a time, by the recurrence of the filter."""
+    tones = [round(300 * (2000 / 300) ** (k / 32)) for k in range(33)]
+
+    def power(frame, hz):
+        twice, one, two = 2 * math.cos(2 * math.pi * hz / 11025), 0.0, 0.0
+        for x in frame:
+            one, two = x + twice * one - two, one
+        return one * one + two * two - twice * one * two
+
+    heard = lambda at: math.sqrt(sum(x * x for x in sound[at : at + 256]) / 256) > 0.002
+    words, last = [], len(sound) - 256
+    for anchor in (0.15, 0.30, 0.50, 0.65, 0.80):
+        home = int(anchor * len(sound))
+        start = next((i for i in range(home, last + 1, 64) if heard(i)), None)
+        if start is None:
+            start = next((i for i in range(home, -1, -64) if i <= last and heard(i)), None)
+        if start is None:
+            continue
+        frames = [[power(sound[i : i + 256], hz) for hz in tones] for i in [i for i in range(start, last + 1, 64) if heard(i)][:25]]
+        words += [sum(1 << b for b in range(32) if x[b] - x[b + 1] > y[b] - y[b + 1]) for x, y in zip(frames, frames[1:])]
+    return words
+
+
+@pytest.mark.parametrize("quiet", [[], [(0, 20_000)], [(3_000, 3_400), (9_000, 12_000)], [(14_000, 22_050)], [(6_900, 22_050)]])
+def test_fingerprint_by_hand(quiet):
+    """Tones that move and noise, with silent stretches: the same words as sample by sample."""
+    t = np.arange(22_050) / 11025
+    sound = 0.4 * np.sin(2 * np.pi * 440 * t * (1 + t / 9)) + 0.2 * np.sin(2 * np.pi * 880 * t) + 0.1 * np.random.default_rng(4).standard_normal(len(t))
+    for a, b in quiet:
+        sound[a:b] = 0
+    assert audio.fingerprint(sound, 11025) == words_by_hand(sound.tolist())
+
+
+@pytest.mark.parametrize("bits, kind", [(8, 1), (16, 1), (24, 1), (32, 1), (32, 3), (64, 3)])
+def test_uncompressed_sound_is_decoded(bits, kind):
+    wave = np.sin(np.arange(4000) / 9) * 0.7
+    stereo = np.stack([wave, wave * 0.5], axis=1).ravel()
+    if kind == 3:
+        raw = {order: stereo.astype(f"{order}f{bits // 8}").tobytes() for order in "<>"}
+    else:
+        whole = np.round(stereo * ((1 << bits - 1) - 1)).astype(np.int64)
+        raw = {"<": b"".join(int(x + (128 if bits == 8 else 0)).to_bytes(bits // 8, "little", signed=bits != 8) for x in whole), ">": b"".join(int(x).to_bytes(bits // 8, "big", signed=True) for x in whole)}
+    fmt = struct.pack("<HHIIHH", kind, 2, 8000, 0, 0, bits)
+    riff = b"RIFF\0\0\0\0WAVEfmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", len(raw["<"])) + raw["<"]
+    sound, rate = audio.decode(riff)
+    assert rate == 8000 and len(sound) == 4000 and np.abs(sound - wave * 0.75).max() < 2.0 ** (2 - min(bits, 20))
+    assert audio.decode(riff[:30]) is None and audio.decode(b"ID3") is None
+    if kind == 1:
+        comm = struct.pack(">hIhHQ", 2, 4000, bits, 16383 + 12, 8000 << 51)
+        form = b"FORM\0\0\0\0AIFFCOMM" + struct.pack(">I", 18) + comm + b"SSND" + struct.pack(">I", len(raw[">"]) + 8) + b"\0" * 8 + raw[">"]
+        other, rate = audio.decode(form)
+        assert rate == 8000 and np.abs(other - sound).max() < 2.0 ** (2 - min(bits, 20))
+
+
+def test_second_fingerprint_of_a_program(spark, tmp_path):
+    """A stand-in program: text and words; a file without words keeps its text, one it cannot read has an error."""
+    tool = tmp_path / "tool"
+    tool.write_text('#!/bin/sh\ncase "$*" in *bad*) exit 3;; *-raw*half*) exit 4;; *-raw*) echo "{\\"fingerprint\\": [1, -2], \\"duration\\": 9.5}";; *) echo "{\\"fingerprint\\": \\"AQ\\", \\"duration\\": 9.5}";; esac\n')
+    tool.chmod(0o755)
+    df = spark.createDataFrame([(1, "/a/x"), (2, "/a/half"), (3, "/a/bad")], "id bigint, path string")
+    got = {r["id"]: tuple(r)[1:] for r in audio.second_fingerprints(df, str(tool)).collect()}
+    assert got == {1: ("AQ", [1, 0xFFFFFFFE], 9.5, None), 2: ("AQ", None, 9.5, None), 3: (None, None, None, "CalledProcessError")}
+
+
 def test_rename(spark):
     df = spark.createDataFrame([(1, "/a/b/old.mp3"), (2, "/a/x.mp3")], "id bigint, path string")
     names = spark.createDataFrame([(1, "New Name")], "id bigint, name string")
