@@ -34,6 +34,8 @@ TEXT_OF_SINGLE = ("cp1252", "cp1250", "cp1251", "cp1253", "koi8-r", "cp866", "ma
 TEXT_OF_MULTI = ("cp1252", "cp1251", "cp1253", "gbk", "cp932", "euc_jp", "big5")
 
 ROUNDS = 3
+#: Texts a worker remembers in a round.
+REMEMBERED = 20_000
 #: Weight of the prior over all sources, in records, within the prior of a source.
 POOLED = 200.0
 #: First guess of the share of garbled values, and what one replaced character costs a value that is not garbled.
@@ -143,6 +145,10 @@ def _steps(text: str, strange: bool) -> Iterator[tuple[str, str]]:
 _LOST = re.compile("[�\x80-\x84\x86-\x9f]|[^\\W\\d_][─-▟]|[─-▟][^\\W\\d_]")
 
 
+_LOST_CHARS = re.compile("[�\x80-\x84\x86-\x9f─-▟]")
+#: The chain of texts whose bytes were lost, and what each such character costs it, and costs right text.
+LOST, LOST_CHAR, LOST_RIGHT = "lost", np.log(1e-4), np.log(1e-9)
+
 #: Letters of another alphabet, or free accents, next to an ASCII letter.
 _MIXED = re.compile("[A-Za-z][Ѐ-ӿͰ-Ͽ¨¯´¸ˆˇ˘-˝]|[Ѐ-ӿͰ-Ͽ¨¯´¸ˆˇ˘-˝][A-Za-z]")
 
@@ -200,8 +206,21 @@ class Model:
         base = (pool.get(chain, 0.0) + (1.0 / 200)) / (seen + 2.0) if chain else max(pool.get("", 0.0), 1.0) / max(seen, 1.0)
         return float(np.log((own.get(chain, 0.0) + POOLED * base) / (sum(own.values()) + POOLED)))
 
-    def weigh(self, source: str, field: str, text: str) -> list[tuple[str, str, float]]:
-        """The chains of a value: (chain, restored text, posterior), the likeliest first; '' is no chain."""
+    def weigh(self, source: str, field: str, text: str) -> list[tuple[str, str | None, float]]:
+        """The chains of a value: (chain, restored text, posterior), the likeliest first; '' is no chain, ``LOST`` restores nothing."""
+        found = [(chain, back, score + self._prior(source, field, chain)) for chain, back, score in self._ways(text)]
+        top = max(s for _, _, s in found)
+        weights = [np.exp(s - top) for _, _, s in found]
+        total = sum(weights)
+        return sorted(((c, t, float(w / total)) for (c, t, _), w in zip(found, weights)), key=lambda x: (-x[2], x[0]))
+
+    def _ways(self, text: str) -> list[tuple[str, str | None, float]]:
+        """The chains of a value with what they restore and its plausibility: the same for all sources."""
+        known = self.__dict__.setdefault("_known", {})
+        if text in known:
+            return known[text]
+        if len(known) >= REMEMBERED:
+            known.clear()
         form = canonical(text)
         changed = sum((Counter(text) - Counter(form)).values()) if form != text else 0
         plain, mean, least = self._score(form)
@@ -209,7 +228,10 @@ class Model:
         strange = mean < STRANGE_MEAN or least < STRANGE_ONE or bool(_LOST.search(text)) or changed > 0
         # That right text is UTF-8 by another reading is a rare accident.
         accident = np.log(GARBLED) if next(_steps(text, False), None) else 0.0
-        found = [("", text, plain + cost + accident + self._prior(source, field, ""))]
+        gone = len(_LOST_CHARS.findall(form)) if _LOST.search(text) else 0
+        found: list[tuple[str, str | None, float]] = [("", text, plain + cost + accident + gone * LOST_RIGHT)]
+        if gone:  # what is left is right text, and bytes are gone
+            found.append((LOST, None, self._score(_LOST_CHARS.sub("", form))[0] + gone * LOST_CHAR))
         todo = [("", text, 0)]
         seen = {text}
         while todo:
@@ -219,13 +241,11 @@ class Model:
                     continue
                 seen.add(back)
                 name = f"{chain}+{step}" if chain else step
-                found.append((name, back, self._score(back)[0] + self._prior(source, field, name)))
+                found.append((name, back, self._score(back)[0]))
                 if depth < 2 and step.endswith("<utf-8") and not back.isascii():
                     todo.append((name, back, depth + 1))
-        top = max(s for _, _, s in found)
-        weights = [np.exp(s - top) for _, _, s in found]
-        total = sum(weights)
-        return sorted(((c, t, float(w / total)) for (c, t, _), w in zip(found, weights)), key=lambda x: (-x[2], x[0]))
+        known[text] = found
+        return found
 
     def repair(self, source: str, field: str, text: str) -> tuple[bool, str | None, float]:
         """Whether a value is garbled, the restored text where that is possible, and the posterior of being garbled."""
@@ -234,18 +254,19 @@ class Model:
         ways = self.weigh(source, field, text)
         garbled = 1 - sum(p for c, _, p in ways if not c)
         best = next(((c, t) for c, t, _ in ways if c), None)
-        if garbled > DECISION and best:
-            return True, best[1], garbled
-        if _LOST.search(text):
-            return True, None, 1.0
-        return False, None, garbled
+        return (True, best[1], garbled) if garbled > DECISION and best else (False, None, garbled)
 
     @staticmethod
     def fit(files: DataFrame) -> Model:
-        """Expectation-maximization over all titles, artists and albums of ``files``."""
-        values = texts(files)
-        # The rounds are work for Python: spread over all partitions, not by bytes.
-        counted = Stored(values.filter("text <> ''").groupBy("source", "field", "text").count().drop("count").repartition(partitions(files.sparkSession)))
+        """Expectation-maximization over all titles, artists and albums of ``files``; once a session for the same values."""
+        spark, values = files.sparkSession, texts(files)
+        # The rounds are work for Python: spread over all partitions, not by bytes, and a text of many sources once.
+        seen = (F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("source", "field", "text")).alias("x"))
+        counted = Stored(values.filter("text <> ''").groupBy("source", "field", "text").count().drop("count").repartition(partitions(spark), "text"), *seen)
+        known, same = spark.sparkContext.__dict__.setdefault("_reprise_models", {}), (counted.seen["n"], counted.seen["x"])
+        if same in known:
+            counted.drop()
+            return known[same]
         model = None
         ddl = "what string, key string, n double"
         plain = counted.df.filter(~F.col("text").rlike(r"[^\x00-\x7f]")).mapInArrow(_plain_counts, ddl).groupBy("what", "key").agg(F.sum("n").alias("n")).collect()
@@ -254,6 +275,7 @@ class Model:
             told = strange.mapInArrow(_expect(model), ddl).groupBy("what", "key").agg(F.sum("n").alias("n")).collect()
             model = _maximize([*plain, *told])
         counted.drop()
+        known[same] = model
         return model
 
     def flag(self, values: DataFrame) -> DataFrame:
@@ -342,10 +364,13 @@ def _expect(model: Model | None):
                     _add(counts, form, sure)
                     key = ("chain", f"{source}\t{field}\t")
                     counts[key] = counts.get(key, 0.0) + sure
+                    if _LOST.search(text):
+                        key = ("chain", f"{source}\t{field}\t{LOST}")
+                        counts[key] = counts.get(key, 0.0) + (1 - sure) / 2
                     continue
                 for chain, back, p in model.weigh(source, field, text):
                     if p > 0.001:
-                        if chain or not _LOST.search(text):
+                        if chain != LOST and (chain or not _LOST.search(text)):
                             _add(counts, back if chain else canonical(text), p)
                         key = ("chain", f"{source}\t{field}\t{chain}")
                         counts[key] = counts.get(key, 0.0) + p

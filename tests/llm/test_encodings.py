@@ -31,6 +31,23 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert len(set(got) - set(bad)) <= 2
 
 
+def test_lost_bytes_are_weighed_like_any_evidence(spark):
+    """Replacement characters make no rule of their own: their chain has a posterior, and a text that can be restored is."""
+    files = library(spark, ["Bridge� of", "Gl�ck auf", "Gud├╢nam", "Straße ─ Nacht"])
+    model = E.Model.fit(files)
+    ways = {c: (t, p) for c, t, p in model.weigh("/srv/a", "title", "Bridge� of")}
+    assert ways[E.LOST][0] is None and 0.5 < ways[E.LOST][1] < 1 and abs(sum(p for _, p in ways.values()) - 1) < 1e-9
+    assert model.repair("/srv/a", "title", "Bridge� of")[:2] == (True, None)
+    assert model.repair("/srv/a", "title", "Gud├╢nam")[:2] == (True, "Gudönam")
+    sure = E.Model(model.kinds, model.chars, {("s", "title"): {"": 1e9}})
+    assert sure.weigh("s", "title", "Bridge� of")[0][2] < 1
+
+
+def test_fitted_once_a_session(spark):
+    files = library(spark, ["x"])
+    assert E.Model.fit(files) is E.Model.fit(files.drop("text"))
+
+
 def test_odd_inputs(spark):
     files = library(spark, ["\x85", "é" * 5000, "naïve", "Âme", "£9"])
     model = E.Model.fit(files)
