@@ -1,8 +1,8 @@
 """Visually identical text with different characters.
 
 ``canonical`` brings a text to the form a reader sees: stand-ins for ordinary characters are replaced,
-everything else stays as it is. Properties in the manner of Unicode's normalization quick check, worked out once
-per worker, tell which code points can change at all. Only the words around such code points are looked at,
+everything else stays as it is. Unicode's normalization quick check, and the same kind of property for what it does not
+know, worked out once per worker, tell which code points can change at all. Only the words around such code points are looked at,
 with the boundary context that decides them (neighbouring letters, the scripts of the word and of the text), and
 the canonical words are spliced into the unchanged rest.
 
@@ -27,7 +27,12 @@ from .common import table
 CYRILLIC = dict(zip("аеорсухіјѕһԁԛԝӏАВЕКМНОРСТУХІЈЅԌԚԜӀ", "aeopcyxijshdqwlABEKMHOPCTYXIJSGQWI"))
 GREEK = dict(zip("ονραυικτγϲχηΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ", "ovpauiktycxnABEZHIKMNOPTYXC"))
 ARMENIAN = dict(zip("սօհոցզյՕՏՍԼ", "uohngqjOSUL"))
-OTHER_LATIN = dict(zip("ɑɡɩʏǀꞮ", "agiylI"))
+OTHER_LATIN = dict(zip("ɑɡɩǀꞮ", "agilI"))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃᎥ", "ABCDEGHJKLMPRSTVWZi"))
+COPTIC = dict(zip("ⲀⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "ABHIKMNOPCTYXopc"))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"))
+SYLLABICS = dict(zip("ᗩᗅᗷᑕᗪᗴᖴᕼᒍᒪᗰᑭᖇᔕᑌᐯᗯ᙭", "AABCDEFHJLMPRSUVWX"))
+DESERET = dict(zip("𐐄𐐕𐐛𐐬𐐽𐑃", "OCLocl"))
 # Ideographs that look like a Katakana letter.
 KANJI_FOR_KANA = dict(zip("夕工力口二八卜千三又才一厶乂丿", "タエカロニハトチミヌオームメノ"))
 # Marks that stand in for an ASCII one.
@@ -38,26 +43,32 @@ BLANKS = "⠀ㅤﾠ\t\x0b\x0c\r\n  \x85"
 
 _LETTERS = re.compile("[^\\W\\d_]+(?:[̀-゙゚ͯ]+[^\\W\\d_]*)*")
 _ASCII = re.compile(r"[a-z]I|\bEI\b|[A-Za-z]I[a-z]|[A-Za-z]0|0[A-Za-z]|[A-Z]l|\bl[A-Zb-df-hkm-np-tv-z]|[a-z][1|][a-z]")
+_CONTROLS = re.compile("[\t\x0b\x0c\r\n`]")
 #: The same for a filter before any Python: a character outside ASCII, a control, or an ASCII stand-in.
 CANDIDATE = r"[^ -~]|[a-z]I|\bEI\b|[A-Za-z]I[a-z]|[A-Za-z]0|0[A-Za-z]|[A-Z]l|\bl[A-Zb-df-hkm-np-tv-z]|[a-z][1|][a-z]|`"
 
 
 @cache
 def script(ch: str) -> str:
-    """L, C, G, A for the scripts with look-alikes, K Katakana, H Hiragana, Z ideographs, '' for the rest."""
+    """L, C, G, A, E, P, U, S, D for the scripts with look-alikes, K Katakana, H Hiragana, Z ideographs, '' for the rest."""
     if ch < "\x80":
         return "L" if ch.isalpha() else ""
     name = unicodedata.name(ch, "")
-    for start, short in (("LATIN", "L"), ("CYRILLIC", "C"), ("GREEK", "G"), ("ARMENIAN", "A"), ("KATAKANA", "K"), ("HIRAGANA", "H"), ("CJK", "Z"), ("KANGXI", "Z"), ("IDEOGRAPHIC", "Z")):
+    for start, short in (("LATIN", "L"), ("CYRILLIC", "C"), ("GREEK", "G"), ("ARMENIAN", "A"), ("KATAKANA", "K"), ("HIRAGANA", "H"), ("CJK", "Z"), ("KANGXI", "Z"), ("IDEOGRAPHIC", "Z"), ("CHEROKEE", "E"), ("COPTIC", "P"), ("LISU", "U"), ("CANADIAN", "S"), ("DESERET", "D")):
         if name.startswith(start):
             return short
     return ""
 
 
-_TO_LATIN = {"C": CYRILLIC, "G": GREEK, "A": ARMENIAN}
+_TO_LATIN = {"C": CYRILLIC, "G": GREEK, "A": ARMENIAN, "E": CHEROKEE, "P": COPTIC, "U": LISU, "S": SYLLABICS, "D": DESERET}
+_ALIKE = {"L", *_TO_LATIN}
+_LOOKALIKES = frozenset().union(*_TO_LATIN.values(), KANJI_FOR_KANA, KANJI_FOR_KANA.values())
 _FROM_LATIN = {s: {v: k for k, v in reversed(m.items())} for s, m in _TO_LATIN.items()}
 
 
+_DRAWN = re.compile(r"^(?:LATIN LETTER SMALL CAPITAL|(?:NEGATIVE|CROSSED NEGATIVE) (?:CIRCLED|SQUARED) LATIN CAPITAL LETTER) ([A-Z])$")
+
+
 @cache
 def _plain(ch: str) -> str | None:
     """What a code point becomes wherever it stands; None: context decides, or nothing happens."""
@@ -70,7 +81,12 @@ def _plain(ch: str) -> str | None:
         return MARKS[ch]
     if ch in OTHER_LATIN:
         return OTHER_LATIN[ch]
+    name = unicodedata.name(ch, "")
+    if cat[0] in "LS" and (m := _DRAWN.search(name)):  # small capitals, and letters in discs and squares without a decomposition
+        return m[1].lower() if "SMALL CAPITAL" in name else m[1]
     folded = unicodedata.normalize("NFKC", ch)
+    if unicodedata.decomposition(ch).startswith(("<circle>", "<square>")) and len(folded) == 1 and folded.isalpha() and folded.isascii() or "ᴬ" <= ch <= "ᵺ" and len(folded) == 1 and folded.isascii():
+        return folded
     compatible = unicodedata.decomposition(ch).startswith(("<wide>", "<narrow>", "<font>")) or "ﬀ" <= ch <= "ﬆ" or "⺀" <= ch <= "⿟" or "Ⅰ" <= ch <= "ⅿ"
     if folded != ch and (compatible or unicodedata.normalize("NFC", ch) != ch):
         return folded
@@ -82,10 +98,7 @@ def unstable(ch: str) -> bool:
     """The quick-check property: whether the code point can change, by itself or in some context."""
     if ch < "\x80":
         return ch in "\t\x0b\x0c\r\n`"
-    return (
-        _plain(ch) is not None or unicodedata.combining(ch) > 0 or ch in CYRILLIC or ch in GREEK or ch in ARMENIAN
-        or ch in KANJI_FOR_KANA or ch in KANJI_FOR_KANA.values()
-    )
+    return ch in _LOOKALIKES or unicodedata.combining(ch) > 0 or _plain(ch) is not None
 
 
 def _kept(ch: str, before: str, after: str) -> bool:
@@ -106,9 +119,9 @@ def _word(word: str, others: set[str]) -> str:
     """Letters of other scripts within a word, brought to the script of the word. ``others``: firm scripts of the text."""
     marks = [script(ch) for ch in word]
     own = set(marks) - {""}
-    if len(own & {"L", "C", "G", "A"}) > 1:
+    if len(own & _ALIKE) > 1:
         latin_of = lambda s: set(_FROM_LATIN[s]) if s in _FROM_LATIN else set()
-        rest = own & {"C", "G", "A"}
+        rest = own & _ALIKE - {"L"}
 
         def firm(s: str) -> int:
             if s == "L":
@@ -116,7 +129,7 @@ def _word(word: str, others: set[str]) -> str:
                 return sum(m == "L" and unicodedata.normalize("NFD", ch)[0] not in able for ch, m in zip(word, marks))
             return sum(m == s and ch not in _TO_LATIN[s] for ch, m in zip(word, marks))
 
-        target = max(own & {"L", "C", "G", "A"}, key=lambda s: (firm(s) > 0, marks.count(s) if firm(s) else 0, s == "L", s))
+        target = max(own & _ALIKE, key=lambda s: (firm(s) > 0, marks.count(s) if firm(s) else 0, s == "L", s))
         return "".join(_fold(ch, m, target) for ch, m in zip(word, marks))
     if len(own) == 1 and (s := next(iter(own))) in _TO_LATIN and s not in others and "L" in others and all(ch in _TO_LATIN[s] for ch in word):
         return "".join(_TO_LATIN[s][ch] for ch in word)
@@ -134,7 +147,7 @@ def _word(word: str, others: set[str]) -> str:
 
 
 def _fold(ch: str, s: str, target: str) -> str:
-    if s == target or s not in ("L", "C", "G", "A"):
+    if s == target or s not in _ALIKE:
         return ch
     latin = ch if s == "L" else _TO_LATIN[s].get(ch)
     if latin is None:
@@ -168,7 +181,7 @@ def _ascii(text: str) -> str:
 
 def canonical(text: str) -> str:
     """The text with every stand-in replaced by the ordinary character a reader takes it for."""
-    spots = [k for k, ch in enumerate(text) if unstable(ch)]
+    spots = [k for k, ch in enumerate(text) if unstable(ch)] if not text.isascii() or _CONTROLS.search(text) else []
     if spots:
         parts, at = [], 0
         for k in spots:  # segments that change by themselves
@@ -179,10 +192,10 @@ def canonical(text: str) -> str:
             parts += [text[at:k], new]
             at = k + 1
         text = "".join(parts) + text[at:]
-        if any(unicodedata.combining(ch) for ch in text):
+        if not unicodedata.is_normalized("NFC", text):
             # A mark is composed with its base; boundaries are the starters on both sides.
             text = re.sub(".[̀-゙゚ͯ]+", lambda m: unicodedata.normalize("NFC", m[0]), text)
-        if any(ch in CYRILLIC or ch in GREEK or ch in ARMENIAN or ch in KANJI_FOR_KANA or ch in KANJI_FOR_KANA.values() for ch in text):
+        if not _LOOKALIKES.isdisjoint(text):
             firm = {s for ch in text if (s := script(ch)) and (s == "L" or ch not in _TO_LATIN.get(s, ()) and ch not in KANJI_FOR_KANA)}
             text = _LETTERS.sub(lambda m: _word(m[0], firm), text)
     return _ascii(text) if _ASCII.search(text) else text

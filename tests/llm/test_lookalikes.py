@@ -9,8 +9,9 @@ PAIRS = [
     ("Тhеаtre Nо. 19", "Theatre No. 19"), ("Ｖａｒｉｏｕｓ Artists", "Various Artists"), ("Shallo​w", "Shallow"), ("No. 38", "No. 38"),
     ("über", "über"), ("CarouseI", "Carousel"), ("lnes Tibyrynd", "Ines Tibyrynd"), ("HEK0ROK0TH", "HEKOROKOTH"), ("0utrun the Theatre", "Outrun the Theatre"), ("⼼鸟梦", "心鸟梦"),
     ("ク夕スモ工ズ", "クタスモエズ"), ("Лочимe", "Лочиме"), ("Donʼt", "Don't"), ("ﬁre", "fire"), ("Wezosɑñd", "Wezosañd"), ("⁠", ""), ("ROKlNONU", "ROKINONU"), ("Count⠀theㅤCellar", "Count the Cellar"),
+    ("Ꭺrtist", "Artist"), ("Ⲁrtist", "Artist"), ("ꓮrtist", "Artist"), ("ᗩrtist", "Artist"), ("ᴀʀᴛɪsᴛ", "artist"), ("Ⓐrtist", "Artist"), ("🄰rtist", "Artist"), ("🅰rtist", "Artist"), ("p𐐬wer", "power"), ("ᗩᗷᑕ of sound", "ABC of sound"),
 ]
-SAME = ["Łódź do Vymihyra", "Người ở Vysarinask", "DJ Щанышохо Фери", "Μεφω Τεκαλυ", "木鳥かきち", "クタスモエズ", "don’t – stop…", "İçinde Şarkı", "McIntyre", "Vol. II", "100x", "", "Où va", "東京，夜", "❤️ Song", "Тесла", "Æon Ωmega"]
+SAME = ["Łódź do Vymihyra", "Người ở Vysarinask", "DJ Щанышохо Фери", "Μεφω Τεκαλυ", "木鳥かきち", "クタスモエズ", "don’t – stop…", "İçinde Şarkı", "McIntyre", "Vol. II", "100x", "", "Où va", "東京，夜", "❤️ Song", "Тесла", "Æon Ωmega", "ᐊᒪᐅᔭᖅ", "ᏣᎳᎩ", "E=mc²", "1ª Vez", "Ⲁⲛⲟⲕ"]
 
 
 @pytest.mark.parametrize("odd, right", PAIRS)
