@@ -52,10 +52,10 @@ def dice(a: Column, b: Column, fold: dict[str, str] | None = None) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(2 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
 
 
-def script_of(text: Column, simple: dict[str, str], traditional: dict[str, str]) -> Column:
-    """Which script variant a text is in, null where it tells nothing."""
-    s, t = fold_script(text, simple), fold_script(text, traditional)
-    return F.when((text == s) & (text != t), "cn").when((text == t) & (text != s), "tw")
+def script_of(text: Column, fold: dict[str, str]) -> Column:
+    """Which script variant a text is in, 'cn' (simple) or 'tw' (traditional); null where it has no character of ``fold``, or of both."""
+    simple, traditional = (F.translate(text, "".join(m), "".join(m.values())) for m in (fold, {v: k for k, v in fold.items()}))
+    return F.when((text == simple) & (text != traditional), "cn").when((text == traditional) & (text != simple), "tw")
 
 
 def script_agreement(a: Column, b: Column) -> Column:
@@ -124,16 +124,23 @@ def half_word_keys(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np
     """Of lists in a row: (list, key) of a choice of all pairs of halves of two words that follow one another.
 
     Lists in which every word differs by one bit still share a half of each word, and so a key at every place: of 120
-    words about 30 keys are chosen. A key of two zero halves is 0, always chosen, and shared by all silent lists.
+    words about 30 keys are chosen. Of each kind of pair the least key is chosen too, so that lists of few different
+    words have keys. A key of two zero halves is 0, always chosen, and shared by all silent lists.
     """
     of = np.repeat(np.arange(len(sizes)), sizes)
     inside = of[1:] == of[:-1]
-    halves = [w.astype(np.uint64) for w in (words & np.uint32(0xFFFF), words >> np.uint32(16))]
-    keys = [(a[:-1][inside] << np.uint64(16) | b[1:][inside]) for a in halves for b in halves]
-    tagged = np.concatenate([np.where(k == 0, np.uint64(0), k | np.uint64(n) << np.uint64(32)) for n, k in enumerate(keys)])
-    where = np.tile(of[:-1][inside], 4)
-    kept = (tagged == 0) | ((tagged * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(KEPT_KEYS) == 0
-    pairs = np.unique(np.stack([where[kept], tagged[kept].astype(np.int64)]), axis=1)
+    where = of[:-1][inside]
+    if not len(where):
+        return where, np.zeros(0, np.int64)
+    edges = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+    counts = np.diff(np.concatenate((edges, [len(where)])))
+    halves, found = [w.astype(np.uint64) for w in (words & np.uint32(0xFFFF), words >> np.uint32(16))], []
+    for n, (a, b) in enumerate((a, b) for a in halves for b in halves):
+        pair = a[:-1][inside] << np.uint64(16) | b[1:][inside]
+        mixed = (pair | np.uint64(n) << np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+        kept = (pair == 0) | ((mixed >> np.uint64(40)) % np.uint64(KEPT_KEYS) == 0) | (mixed == np.repeat(np.minimum.reduceat(mixed, edges), counts))
+        found.append(np.stack([where[kept], np.where(pair == 0, np.uint64(0), pair | np.uint64(n) << np.uint64(32))[kept].astype(np.int64)]))
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
     return pairs[0], pairs[1]
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quality as q
-from ..functions.similarity import dice, duration_score
+from ..functions.similarity import dice, duration_score, script_agreement, script_of
 from ..functions.text import album_key, leading_int, normalize, round_half_up
 from .storage import cut
 
@@ -36,12 +36,16 @@ def search(files: DataFrame, catalogue: DataFrame, limit: int = 25) -> DataFrame
 
 
 def pick_release(releases: Column, album: Column, fold: dict[str, str] | None = None) -> Column:
-    """The release that suits an album best: of those near the best match the earliest official one; without an album the earliest official one. A struct (release, album_sim), null without releases."""
+    """The release that suits an album best: of those near the best match the earliest official one; without an album the earliest official one. A struct (release, album_sim), null without releases.
+
+    ``fold`` has the simple characters of traditional ones; with it, an album in the same script as a release counts more (M16).
+    """
     year = lambda r: F.when(leading_int(r["date"]) > 0, leading_int(r["date"])).otherwise(9999)
     sim = lambda r: dice(album_key(r["title"]), album_key(album), fold)
     has = F.coalesce(album != "", F.lit(False))
     scored = F.transform(releases, lambda r, i: F.struct((r["status"] != "Official").alias("other"), year(r).alias("year"), i.alias("place"), F.when(has, sim(r)).otherwise(0.0).alias("sim"), r.alias("release")))
-    rate = lambda s: ALBUM_WEIGHT * s["sim"] + SCRIPT_WEIGHT * 0.5
+    script = lambda r: script_agreement(script_of(album, fold), script_of(r["title"], fold)) if fold else F.lit(0.5)
+    rate = lambda s: ALBUM_WEIGHT * s["sim"] + SCRIPT_WEIGHT * script(s["release"])
     top = F.array_max(F.transform(scored, rate))
     close = F.filter(scored, lambda s: ~has | (rate(s) >= F.greatest(F.lit(LEAST_SCORE), top * TOP_FRACTION)))
     pool = F.when(F.size(close) > 0, close).otherwise(F.transform(scored, lambda s: s.withField("sim", F.lit(0.0))))
@@ -119,6 +123,20 @@ def lookup_error(code: Column, message: Column, status: Column, n_results: Colum
     )
 
 
+#: Reasons that settle a lookup, and those that call for another try (by their beginnings).
+SETTLED, TRANSIENT = ("no-results", "low-score", "no-recording", "no-duration"), ("rate-limited", "http-", "network-error")
+
+
+def miss_histogram(lookups: DataFrame) -> DataFrame:
+    """Lookups (code, message, status, n_results) by why they gave nothing: rows (reason, n, settled, transient)."""
+    reason = lookup_error(F.col("code"), F.col("message"), F.col("status"), F.col("n_results"))
+    counted = lookups.select(reason.alias("reason")).filter("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    transient = F.lit(False)
+    for start in TRANSIENT:
+        transient = transient | F.startswith("reason", F.lit(start))
+    return counted.select("reason", "n", F.col("reason").isin(*SETTLED).alias("settled"), transient.alias("transient"))
+
+
 def enrich(files: DataFrame, catalogue: DataFrame, fold: dict[str, str] | None = None) -> DataFrame:
     """E15 without a network: search, score, decide and refine for all files in one plan."""
     ranked = cut(candidates(search(files, catalogue), fold))

@@ -132,6 +132,11 @@ def carry_over(new: DataFrame, old: DataFrame) -> DataFrame:
     return keyed(new, "tags").join(before, ["k1", "k2", "k3"], "left").select("group_id", F.array_union("tags", kept).alias("group_tags"))
 
 
+def rename_tag(groups: DataFrame, old: str, new: str) -> DataFrame:
+    """A retired tag under its new name."""
+    return groups.withColumn("group_tags", F.transform("group_tags", lambda t: F.when(t == old, new).otherwise(t)))
+
+
 def strip_lane(groups: DataFrame, lane: list[str]) -> DataFrame:
     """A lane's tags removed; groups left without any tag of a method go."""
     rest = groups.withColumn("group_tags", F.array_except(F.coalesce("group_tags", F.array().cast("array<string>")), F.array(*[F.lit(t) for t in lane])))

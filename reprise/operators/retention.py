@@ -138,11 +138,12 @@ def reason() -> Column:
     return out
 
 
-def toggle_keep(kept: DataFrame, file_id: int, keep: bool, now: int) -> DataFrame:
-    """The override that makes a file kept or not: none where the cascade agrees, else one row (file_id, keep, reason, added_time)."""
-    row = kept.filter(F.col("file_id") == file_id).select("file_id", "alive")
-    wanted = row.filter("NOT alive") if keep else row.filter("alive")
-    return wanted.select("file_id", F.lit(keep).alias("keep"), F.lit(None).cast("string").alias("reason"), F.lit(now).cast("bigint").alias("added_time"))
+def toggle_keeps(kept: DataFrame, wishes: DataFrame, now: int) -> DataFrame:
+    """The overrides that make files kept or not as wished (file_id, keep): none where the cascade agrees, else one row
+    (file_id, keep, reason, added_time). ``kept`` are rows of ``winners``; a file alive in any of its groups counts as kept there."""
+    alive = kept.groupBy("file_id").agg(F.bool_or("alive").alias("alive"))
+    wanted = wishes.select("file_id", "keep").distinct().join(alive, "file_id").filter("keep <> alive")
+    return wanted.select("file_id", "keep", F.lit(None).cast("string").alias("reason"), F.lit(now).cast("bigint").alias("added_time"))
 
 
 def comparison(rows: DataFrame) -> DataFrame:

@@ -86,6 +86,15 @@ class Versions:
         df.write.mode("overwrite").parquet(f"{self.root}/v{number}")
         return number
 
+    def probe(self, path: str) -> DataFrame:
+        """The table in a folder of Parquet files, each of which must begin and end with the format's mark."""
+        listed = [s for s in self._fs.listStatus(self._path(path)) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+        files = self.spark.read.format("binaryFile").load([str(s.getPath()) for s in listed]) if listed else None
+        good = files.select(F.length("content").alias("n"), F.expr("substring(content, 1, 4) = X'50415231' AND substring(content, -4, 4) = X'50415231'").alias("ok")) if listed else None
+        if not listed or good.filter("NOT ok OR n < 12").limit(1).count():
+            raise ValueError(f"{path} is no table to take over")
+        return self.spark.read.parquet(path)
+
     def copy_from(self, source: DataFrame) -> int:
         """Takes over a whole table into an empty store; the copy is checked by its number of rows."""
         if self.numbers():
@@ -192,6 +201,45 @@ def purge_trash(files: DataFrame, members: DataFrame, groups: DataFrame, resolve
     return files.join(gone.withColumnRenamed("file_id", "id"), "id", "left_anti"), left.join(alive, "group_id", "left_semi"), groups.join(alive, "group_id", "left_semi")
 
 
+def resolve(files: DataFrame, members: DataFrame, groups: DataFrame, kept: DataFrame, chosen: DataFrame | None = None, now: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Pending groups (of ``chosen``, or all) are resolved and their members that are not kept marked deleted.
+
+    ``kept`` has (group_id, file_id). A group all of whose members are kept has nothing to resolve and stays as it is.
+    Returns files and groups.
+    """
+    pending = groups.filter(~F.coalesce("resolved", F.lit(False))).select("group_id")
+    if chosen is not None:
+        pending = pending.join(chosen.select("group_id").distinct(), "group_id", "left_semi")
+    spare = members.join(pending, "group_id", "left_semi").join(kept.select("group_id", "file_id"), ["group_id", "file_id"], "left_anti")
+    done = spare.select("group_id").distinct().withColumn("__done", F.lit(True))
+    after = groups.join(done, "group_id", "left").withColumns({"resolved": F.coalesce("__done", "resolved"), "resolved_time": F.when(F.col("__done"), F.lit(now)).otherwise(F.col("resolved_time"))}).select(groups.columns)
+    return soft_delete(files, spare.select(F.col("file_id").alias("id"))), after
+
+
+def unresolve(files: DataFrame, members: DataFrame, groups: DataFrame, kept: DataFrame, chosen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Resolved groups (of ``chosen``, or all) are pending again, and their members that are not kept live again."""
+    back = groups.filter(F.coalesce("resolved", F.lit(False))).select("group_id")
+    if chosen is not None:
+        back = back.join(chosen.select("group_id").distinct(), "group_id", "left_semi")
+    spare = members.join(back, "group_id", "left_semi").join(kept.select("group_id", "file_id"), ["group_id", "file_id"], "left_anti")
+    marked = groups.join(back.withColumn("__back", F.lit(True)), "group_id", "left")
+    after = marked.withColumns({"resolved": F.when(F.col("__back"), False).otherwise(F.col("resolved")), "resolved_time": F.when(F.col("__back").isNull(), F.col("resolved_time"))}).select(groups.columns)
+    return soft_delete(files, spare.select(F.col("file_id").alias("id")), False), after
+
+
+def listed_history(history: DataFrame, files: DataFrame) -> DataFrame:
+    """The history with the present title, artist and album of its files (null for files that are gone), the last write first."""
+    now = files.select(F.col("id").alias("file_id"), F.col("title").alias("cur_title"), F.col("artist").alias("cur_artist"), F.col("album").alias("cur_album"))
+    return history.join(now, "file_id", "left").orderBy(F.desc_nulls_last("last_written_at"), "file_id")
+
+
+def listed_snapshots(snapshots: DataFrame, files: DataFrame, file_id: int | None = None, limit: int = 100) -> DataFrame:
+    """Snapshots of one file, or the last ``limit`` written ones of all files, with path, title and artist, newest first."""
+    own = snapshots.filter(F.col("file_id") == file_id) if file_id is not None else snapshots.filter("status = 'written'")
+    rows = own.join(files.select(F.col("id").alias("file_id"), "path", "title", "artist"), "file_id").orderBy(F.desc_nulls_last("snapshot_time"), "file_id")
+    return rows if file_id is not None else rows.limit(limit)
+
+
 def merge_snapshot(main: DataFrame, snapshot: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the snapshot replace those of the main table with their keys; others of the main table stay."""
     return main.join(snapshot.select(*keys).distinct(), keys, "left_anti").unionByName(snapshot, allowMissingColumns=True)

@@ -28,6 +28,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 #: A fixed moment for queries about age: 2024-01-01 in epoch milliseconds.
 NOW = 1_704_067_200_000
+_YEAR = 365 * 86_400_000
 
 
 def query(name: str, twin: str | None = None):
@@ -63,7 +64,10 @@ def semi_dup(l):
     return lib.in_group(l.ids(), l.members())
 
 
-@query("search_substring")
+_MARKLESS = lambda x: rf"trim(regexp_replace(regexp_replace(lower(regexp_replace({sql.nfkd(f"coalesce({x}, '')")}, '\p{{M}}', '', 'g')), '[^\p{{L}}\p{{N}}\s]', '', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("search_substring", with_("f nk") + "SELECT f.id, f.title FROM f, nk WHERE " + " OR ".join(f"contains({_MARKLESS('f.' + c)}, 'ladder')" for c in ("title", "artist", "album")))
 def search_substring(l):
     return lib.search(l.files("title", "artist", "album"), "Läd-der").select("id", "title")
 
@@ -88,9 +92,9 @@ def file_by_id(l):
     return lib.by_id(l.files("path"), "id", 9)
 
 
-@query("album_nocase", with_("f") + "SELECT id, album FROM f WHERE translate(album, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = 'greatest hits'")
+@query("album_nocase", with_("f") + "SELECT id, album FROM f WHERE translate(album, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = 'migemifem sessions, vol. 4'")
 def album_nocase(l):
-    return lib.by_album(l.files("album"), "GREATEST Hits")
+    return lib.by_album(l.files("album"), "MIGEMIFEM Sessions, Vol. 4")
 
 
 @query("fingerprint_admissible", with_("f") + "SELECT id FROM f WHERE fingerprint_method = 'metadata' OR len(list_filter(fingerprint, lambda x: x <> 0)) >= 0.1 * len(fingerprint)")
@@ -117,9 +121,11 @@ def genre_clean(l):
     return l.enrichment().select("file_id", "source", en.clean_genre(F.col("genre")).alias("genre"))
 
 
-@query("needs_meta", with_("f") + "SELECT id FROM f WHERE NOT deleted AND (meta_extracted_at IS NULL OR meta_extracted_at < file_mtime)")
+@query("needs_meta", with_("f") + f"SELECT id FROM f WHERE NOT deleted AND (meta_extracted_at IS NULL OR meta_extracted_at < file_mtime + {_YEAR})")
 def needs_meta(l):
-    return lib.needs_metadata(l.files("deleted", "meta_extracted_at", "file_mtime")).select("id")
+    """As if every file had changed a year later."""
+    rows = l.files("deleted", "meta_extracted_at", "file_mtime")
+    return lib.needs_metadata(rows.withColumn("file_mtime", F.col("file_mtime") + _YEAR)).select("id")
 
 
 @query("needs_fp_union", with_("f", "a AS (SELECT id FROM f WHERE NOT deleted AND (fingerprint IS NULL OR fp_extracted_at IS NULL OR fp_extracted_at < file_mtime))") + "SELECT id FROM a UNION SELECT id FROM f WHERE NOT deleted AND fingerprint IS NOT NULL AND (chromaprint IS NULL OR chromaprint_raw IS NULL)")
@@ -223,7 +229,7 @@ def hamming_words(l):
 # --- matching lanes -------------------------------------------------------------------------------------------------
 
 
-@query("title_pairs")
+@query("title_pairs", with_("f nk", sql.TITLES + f", k AS (SELECT ft.id, clean, duration, {sql.parts('artist')} AS p FROM ft, nk WHERE NOT deleted AND length(clean) >= 2 AND duration > 0)") + f"SELECT x.id AS a, y.id AS b FROM k x JOIN k y ON x.clean = y.clean AND x.id < y.id AND abs(x.duration - y.duration) <= 5 WHERE {sql.share('x.p', 'y.p')} >= 0.5")
 def title_pairs(l):
     return ma.attribute_lane(lib.live(l.live_files("title", "artist", "path", "duration", "deleted")))
 
@@ -239,7 +245,11 @@ def second_fp_pairs(l):
     return ma.second_lane(lib.live(l.live_files("title", "artist", "path", "duration", "deleted", "chromaprint_raw"))).select("a", "b", F.round("sim", 6).alias("sim"), "accepted")
 
 
-@query("plausible_pairs")
+@query("plausible_pairs", with_("f e nk", sql.TITLES + """,
+s AS (SELECT file_id, max(mb_recording_id) FILTER (source = 'musicbrainz') AS mb, max(mb_recording_id) FILTER (source = 'acoustid') AS aid FROM e WHERE mb_recording_id <> '' GROUP BY file_id),
+k AS (SELECT id, title_key, artist_key, mb, aid FROM ft JOIN s ON s.file_id = ft.id WHERE NOT deleted),
+i AS (SELECT id, mb AS rid FROM k WHERE mb IS NOT NULL UNION SELECT id, aid FROM k WHERE aid IS NOT NULL),
+p AS MATERIALIZED (SELECT DISTINCT x.id AS a, y.id AS b FROM i x JOIN i y ON x.rid = y.rid AND x.id < y.id)""") + f"SELECT p.a, p.b, coalesce(x.mb = y.mb, false) AS mb_confirmed, coalesce(x.aid = y.aid, false) OR coalesce(x.mb = y.aid, false) OR coalesce(x.aid = y.mb, false) AS acoustid_confirmed FROM p JOIN k x ON x.id = p.a JOIN k y ON y.id = p.b WHERE {sql.plausible('x.title_key', 'y.title_key', 'x.artist_key', 'y.artist_key')}")
 def plausible_pairs(l):
     return ma.enrichment_lane(lib.live(l.live_files("title", "artist", "path", "deleted")), l.enrichment())
 
@@ -254,7 +264,7 @@ def dice_pairs(l):
     return rows.select("file_id", "source", F.round(sim.dice(F.col("title"), F.col("said")), 6).alias("dice"))
 
 
-@query("artist_token_match")
+@query("artist_token_match", with_("f e nk", f"k AS (SELECT e.file_id, e.source, {sql.parts('f.artist')} AS a, {sql.parts('e.artist')} AS b FROM e JOIN f ON f.id = e.file_id, nk)") + f"SELECT file_id, source, {sql.share('a', 'b')} >= 0.5 AS matches FROM k")
 def artist_token_match(l):
     # Tokens are made on either side of the join: no Python function may stand within an array expression.
     said = l.enrichment().select("file_id", "source", sim.artist_tokens(F.col("artist")).alias("b"))
@@ -262,16 +272,9 @@ def artist_token_match(l):
     return said.join(own, "file_id").select("file_id", "source", (sim.share_of_tokens(F.col("a"), F.col("b")) >= 0.5).alias("matches"))
 
 
-@query("edit_similarity", with_("f e") + "SELECT file_id, source, round(CASE WHEN f.title = e.title THEN 1 WHEN f.title = '' OR e.title = '' THEN 0 ELSE 1 - levenshtein(f.title, e.title) / greatest(length(f.title), length(e.title)) END, 6)::DOUBLE AS sim FROM e JOIN f ON f.id = e.file_id WHERE NOT regexp_matches(f.title || e.title, '[^\\x00-\\x7f]')")
+@query("edit_similarity", with_("f e") + f"SELECT file_id, source, round({sql.likeness('f.title', 'e.title')}, 6)::DOUBLE AS sim FROM e JOIN f ON f.id = e.file_id")
 def edit_similarity(l):
-    rows = l.enrichment().select("file_id", "source", F.col("title").alias("said")).join(l.files("title").withColumnRenamed("id", "file_id"), "file_id")
-    plain = rows.filter(~F.concat("title", "said").rlike(r"[^\x00-\x7f]"))  # the twin counts bytes
-    return plain.select("file_id", "source", F.round(sim.edit_similarity(F.col("title"), F.col("said")), 6).alias("sim"))
-
-
-@query("edit_similarity_all")
-def edit_similarity_all(l):
-    """All titles, in characters; no twin, as the one above counts bytes. Null where a title is missing."""
+    """All titles, in characters. Null where a title is missing."""
     rows = l.enrichment().select("file_id", "source", F.col("title").alias("said")).join(l.files("title").withColumnRenamed("id", "file_id"), "file_id")
     return rows.select("file_id", "source", F.round(sim.edit_similarity(F.col("title"), F.col("said")), 6).alias("sim"))
 
@@ -363,12 +366,24 @@ def facets(l):
     return gr.facets(l.groups())
 
 
-@query("group_types")
+_DESCRIBED = f"""d AS (SELECT m.group_id, f.id, coalesce(f.format, '') AS raw_format, upper(coalesce(f.format, '')) AS format, {sql.normalized('f.title')} AS title_key, {sql.normalized('f.artist')} AS artist_key, {sql.normalized('f.album')} AS album_key,
+  {sql.kind('f.')} AS kind, CASE WHEN f.album_year > 0 THEN f.album_year END AS year, {sql.filled('f.')} AS filled, CASE WHEN floor(f.duration + 0.5) > 0 THEN floor(f.duration + 0.5) END AS seconds, md5(array_to_string(f.fingerprint, ' ')) AS fp,
+  trim(regexp_replace(lower({sql.basename('f.path')}), '\\s+', ' ', 'g')) AS file_name FROM m JOIN f ON f.id = m.file_id, nk)"""
+
+
+@query("group_types", with_("f m nk", _DESCRIBED + ", a AS (SELECT group_id, min(raw_format) <> max(raw_format) AS formats, min(title_key) = max(title_key) AND min(title_key) <> '' AS title, min(artist_key) = max(artist_key) AND min(artist_key) <> '' AS artist, bool_or(kind = 'single') AS single, bool_or(kind = 'album') AS album FROM d GROUP BY group_id)") + "SELECT group_id, CASE WHEN formats AND title AND artist THEN 'format_diff' WHEN single AND album THEN 'single_vs_album' WHEN title THEN 'format_diff' ELSE 'name_diff' END AS type FROM a")
 def group_types(l):
     return gr.types(gr.described(l.members(), l.files()))
 
 
-@query("group_tags")
+_SAME_OF = lambda c: f"min({c}) = max({c})"
+
+
+@query("group_tags", with_("f m nk", _DESCRIBED + f""", x AS (SELECT *, concat_ws(chr(1), title_key, artist_key, album_key) AS meta FROM d),
+a AS (SELECT group_id, count(*) AS n, {_SAME_OF('format')} AS one_format, {_SAME_OF('file_name')} AND min(file_name) <> '' AS one_name, {_SAME_OF('meta')} AS one_meta, max(meta) = chr(1) || chr(1) AS no_meta, min(year) < max(year) AS years,
+  min(kind) <> max(kind) AS kinds, min(filled) <> max(filled) AS fills, count(seconds) AS n_seconds, {_SAME_OF('seconds')} AS one_length, count(fp) >= 2 AND {_SAME_OF('fp')} AS exact FROM x GROUP BY group_id)""") + """SELECT group_id, concat_ws(',', CASE WHEN exact THEN 'spectral_exact' END, CASE WHEN NOT one_format THEN 'format_diff' END, CASE WHEN one_format AND n >= 2 THEN 'format_same' END, CASE WHEN n >= 2 AND one_name THEN 'filename_same' END,
+CASE WHEN n >= 2 AND NOT no_meta AND one_meta THEN 'metadata_same' END, CASE WHEN n >= 2 AND NOT no_meta AND NOT one_meta THEN 'metadata_diff' END, CASE WHEN years THEN 'release_year_diff' END, CASE WHEN kinds THEN 'release_type_diff' END, CASE WHEN fills THEN 'meta_score_diff' END,
+CASE WHEN n_seconds >= 2 AND one_length THEN 'duration_same' END, CASE WHEN n_seconds >= 2 AND NOT one_length THEN 'duration_diff' END) AS group_tags FROM a""")
 def group_tags(l):
     return gr.tags(gr.described(l.members(), l.files())).withColumn("group_tags", F.array_join("group_tags", ","))
 
@@ -501,7 +516,7 @@ _SAID = lambda c: f"CASE WHEN {_AID} THEN aid_{c} ELSE mb_{c} END"
 _RAW_GENRE = "x AS (SELECT f.*, " + ", ".join(f"{p}.{c} AS {p}_{c}" for p in ("mb", "aid") for c in ("mb_recording_id", "title", "artist", "album", "album_year", "track_number", "genre", "duration", "match_basis", "scraped_at")) + f" {_TWO})"
 _SAME = [f"coalesce({c} <> '' AND {_SAID(c)} <> '' AND {sql.narrow(c)} = {sql.narrow(_SAID(c))}, false)::INT" for c in ("title", "artist", "album")] + [f"coalesce({c} <> 0 AND {_SAID(c)} <> 0 AND {c} = {_SAID(c)}, false)::INT" for c in ("album_year", "track_number")] + [f"coalesce(genre <> '' AND {_SAID('genre')} <> '' AND {sql.normal('genre')} = {sql.normal(_SAID('genre'))}, false)::INT"]
 _SCORED = f"""{_RAW_GENRE},
-s AS (SELECT m.group_id, m.file_id, x.duration, x.album_year, x.file_ctime, x.bitrate, {sql.score('x.')} AS quality, {sql.filled('x.')} AS filled, {sql.kind_score('x.')} AS kind_score, {_VERIFIED} AS verified,
+s AS (SELECT m.group_id, m.file_id, x.duration, x.album_year, x.file_ctime, x.bitrate, x.format, x.album, {sql.kind('x.')} AS kind, {sql.score('x.')} AS quality, {sql.filled('x.')} AS filled, {sql.kind_score('x.')} AS kind_score, {_VERIFIED} AS verified,
   CASE WHEN {_VERIFIED} THEN {' + '.join(_SAME)} ELSE 0 END AS agreed, nullif(x.mb_mb_recording_id, '') AS recording,
   CASE WHEN mb_match_basis = 'exact' AND mb_duration > 0 THEN mb_duration END AS mb_seconds, CASE WHEN aid_match_basis = 'exact' AND aid_duration > 0 THEN aid_duration END AS aid_seconds
   FROM m JOIN x ON x.id = m.file_id),
@@ -540,11 +555,57 @@ def keep_set(l):
     return re_.winners(_retained(l), l.overrides()).filter("keep").select("group_id", "file_id")
 
 
-@query("keep_reasons")
+_REASON = """CASE decided_by WHEN 'scrape_best' THEN 'scrape_best: ' || agreed || '/6' WHEN 'quality_best' THEN 'quality_best: ' || concat_ws(' ', upper(format), coalesce(bitrate, 0) || 'k') WHEN 'ctime_best' THEN 'ctime_best: ' || strftime(make_timestamp(file_ctime * 1000), '%Y-%m-%d')
+WHEN 'release_best' THEN 'release_best: ' || album_year WHEN 'album_best' THEN 'album_best: ' || kind WHEN 'meta_best' THEN 'meta_best: ' || filled || '/6' WHEN 'duration_accurate' THEN 'duration_accurate: ' || floor(duration + 0.5)::BIGINT || 's' END"""
+_WHY = f"""y AS (SELECT t7.*, coalesce(r.keep, false) AS manual, coalesce(NOT r.keep, false) AS excluded, CASE WHEN n_members = 1 THEN 'only_version' WHEN decided_by IS NOT NULL THEN {_REASON} WHEN count(*) FILTER (alive) OVER (PARTITION BY group_id) > 1 THEN 'tie' END AS smart FROM t7 LEFT JOIN r ON r.file_id = t7.file_id)"""
+
+
+@query("keep_reasons", with_("f e m r", _SCORED + ",\n" + _cascade_sql() + ",\n" + _WHY) + "SELECT group_id, file_id, (alive OR manual) AND NOT excluded AS keep, CASE WHEN excluded THEN NULL WHEN alive AND manual THEN coalesce(smart, 'tie') || '+manual_keep' WHEN alive THEN smart WHEN manual THEN 'manual_keep' END AS reason FROM y")
 def keep_reasons(l):
     return re_.winners(_retained(l), l.overrides()).select("group_id", "file_id", "keep", "reason")
 
 
+@query("album_tie_break", with_("f e m", _SCORED + ",\n" + _cascade_sql() + """,
+l AS (SELECT album, count(*) AS n FROM f WHERE NOT deleted AND album <> '' GROUP BY album),
+u AS (SELECT t7.*, CASE WHEN alive THEN coalesce(l.n, 0) END AS n FROM t7 LEFT JOIN l USING (album)),
+v AS (SELECT *, count(*) FILTER (alive) OVER w > 1 AND max(n) OVER w > 0 AS able, n = max(n) OVER w AS top FROM u WINDOW w AS (PARTITION BY group_id)),
+z AS (SELECT *, able AND count(*) FILTER (top) OVER (PARTITION BY group_id) = 1 AS settled FROM v)""") + "SELECT group_id, file_id, alive AND (NOT settled OR coalesce(top, false)) AS keep, CASE WHEN settled THEN 'local_album' ELSE decided_by END AS decided_by FROM z")
+def album_tie_break(l):
+    """What the cascade leaves tied goes to the member of whose album the library has most files."""
+    albums = lib.live(l.live_files("album", "deleted")).filter("album <> ''")
+    counts = l.files("album").join(albums.groupBy("album").agg(F.count(F.lit(1)).alias("n")), "album").select(F.col("id").alias("file_id"), "n")
+    return re_.winners(_retained(l), None, album_counts=counts).select("group_id", "file_id", "keep", "decided_by")
+
+
+@query("keep_toggles", with_("f e m r", _SCORED + ",\n" + _cascade_sql() + ", k AS (SELECT file_id, bool_or(alive) AS alive FROM t7 GROUP BY file_id)") + f"SELECT k.file_id, r.keep, {NOW}::BIGINT AS added_time FROM k JOIN r ON r.file_id = k.file_id WHERE r.keep <> k.alive")
+def keep_toggles(l):
+    """The overrides still needed to follow the list of wishes."""
+    return re_.toggle_keeps(re_.winners(_retained(l)), l.overrides(), NOW).select("file_id", "keep", "added_time")
+
+
+_SPARE = "q AS (SELECT DISTINCT t7.file_id FROM t7 JOIN g USING (group_id) LEFT JOIN r ON r.file_id = t7.file_id WHERE {} coalesce(g.resolved, false) AND NOT ((alive OR coalesce(r.keep, false)) AND coalesce(r.keep, true)))"
+
+
+@query("resolved_files", with_("f e m g r", _SCORED + ",\n" + _cascade_sql() + ",\n" + _SPARE.format("NOT")) + "SELECT id, deleted OR id IN (SELECT file_id FROM q) AS deleted FROM f")
+def resolved_files(l):
+    """All pending groups resolved."""
+    kept = re_.winners(_retained(l), l.overrides()).filter("keep")
+    return st.resolve(l.files("deleted"), l.members(), l.groups(), kept)[0].select("id", "deleted")
+
+
+@query("resolved_groups", with_("f e m g r", _SCORED + ",\n" + _cascade_sql() + ",\nh AS (SELECT DISTINCT group_id FROM t7 LEFT JOIN r ON r.file_id = t7.file_id WHERE NOT ((alive OR coalesce(r.keep, false)) AND coalesce(r.keep, true)))") + f"SELECT group_id, CASE WHEN NOT coalesce(resolved, false) AND group_id IN (SELECT group_id FROM h) THEN true ELSE resolved END AS resolved, CASE WHEN NOT coalesce(resolved, false) AND group_id IN (SELECT group_id FROM h) THEN {NOW} ELSE resolved_time END AS resolved_time FROM g")
+def resolved_groups(l):
+    kept = re_.winners(_retained(l), l.overrides()).filter("keep")
+    return st.resolve(l.files("deleted"), l.members(), l.groups(), kept, now=NOW)[1].select("group_id", "resolved", "resolved_time")
+
+
+@query("unresolved_files", with_("f e m g r", _SCORED + ",\n" + _cascade_sql() + ",\n" + _SPARE.format("")) + "SELECT id, deleted AND id NOT IN (SELECT file_id FROM q) AS deleted FROM f")
+def unresolved_files(l):
+    """All resolved groups pending again."""
+    kept = re_.winners(_retained(l), l.overrides()).filter("keep")
+    return st.unresolve(l.files("deleted"), l.members(), l.groups(), kept)[0].select("id", "deleted")
+
+
 @query("duration_reference", with_("f e m", _SCORED) + "SELECT group_id, file_id, reference, round(deviation, 4)::DOUBLE AS deviation, deviation <= 3 AS accurate FROM t0")
 def duration_reference(l):
     return _retained(l).select("group_id", "file_id", "reference", F.round("deviation", 4).alias("deviation"), "accurate")
@@ -634,15 +695,23 @@ def miss_reasons(l):
     return rows.groupBy(F.coalesce("match_basis", F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("lookup_misses", with_("f e", "k AS (SELECT f.id, acoustid_checked_at, chromaprint, (SELECT count(*) FROM e WHERE e.file_id = f.id AND e.source = 'acoustid') AS n FROM f)") + "SELECT CASE WHEN acoustid_checked_at IS NULL THEN 'network-error' ELSE 'no-results' END AS reason, count(*) AS n, acoustid_checked_at IS NOT NULL AS settled, acoustid_checked_at IS NULL AS transient FROM k WHERE chromaprint IS NOT NULL AND (acoustid_checked_at IS NULL OR n = 0) GROUP BY ALL")
+def lookup_misses(l):
+    """Files with a second fingerprint as lookups: never answered where they were not checked, else with what the source knows."""
+    hits = l.enrichment().filter("source = 'acoustid'").groupBy("file_id").agg(F.count(F.lit(1)).alias("n_results"))
+    asked = l.files("chromaprint", "acoustid_checked_at").filter("chromaprint IS NOT NULL").join(hits.withColumnRenamed("file_id", "id"), "id", "left")
+    return en.miss_histogram(asked.select(F.lit(None).cast("int").alias("code"), F.lit(None).cast("string").alias("message"), F.when(F.col("acoustid_checked_at").isNotNull(), 200).alias("status"), F.coalesce("n_results", F.lit(0)).alias("n_results")))
+
+
 # --- scalar functions --------------------------------------------------------------------------------------------------
 
 
-@query("title_clean")
+@query("title_clean", with_("f nk") + f"SELECT f.id, {sql.cleaned('f.title')} AS clean FROM f, nk")
 def title_clean(l):
     return l.files("title").select("id", t.clean_title(F.col("title")).alias("clean"))
 
 
-@query("title_from_path")
+@query("title_from_path", with_("f nk", sql.TITLES) + "SELECT id, clean AS title FROM ft")
 def title_from_path(l):
     return l.files("title", "path").select("id", t.title_of(F.col("title"), F.col("path")).alias("title"))
 
@@ -728,6 +797,26 @@ def write_history(l):
     return history.select("file_id", F.array_join("modified_fields", ",").alias("fields"), F.col("original_tags")["genre"].alias("old_genre"), "write_count")
 
 
+@query("history_list", with_("f e", _EDITS) + f"SELECT f.id AS file_id, f.title AS cur_title, f.album AS cur_album, {NOW}::BIGINT AS last_written_at FROM f JOIN w ON w.file_id = f.id WHERE (w.album_year > 0 AND w.album_year IS DISTINCT FROM f.album_year) OR (w.genre <> '' AND w.genre IS DISTINCT FROM f.genre)")
+def history_list(l):
+    """What was written, with the files as they are."""
+    edits = l.enrichment().filter("source = 'musicbrainz'").select("file_id", "album_year", "genre")
+    history = st.write_fields(l.files("album_year", "genre"), l.spark.createDataFrame([], st.HISTORY), edits, ["album_year", "genre"], NOW)[1]
+    return st.listed_history(history, l.files("title", "artist", "album")).select("file_id", "cur_title", "cur_album", F.col("last_written_at").cast("bigint").alias("last_written_at"))
+
+
+@query("snapshot_list", with_("f e", "k AS (SELECT e.file_id, e.scraped_at, f.path, f.title FROM e JOIN f ON f.id = e.file_id WHERE e.match_basis = 'exact' AND e.source = 'acoustid')") + "SELECT file_id, scraped_at AS snapshot_time, path, title FROM k ORDER BY scraped_at DESC NULLS LAST, file_id LIMIT 100")
+def snapshot_list(l):
+    """The last hundred snapshots that were written, here the exact answers of a source."""
+    taken = l.enrichment().filter("source = 'acoustid'").select("file_id", F.col("scraped_at").alias("snapshot_time"), F.when(F.col("match_basis") == "exact", "written").otherwise("pending").alias("status"))
+    return st.listed_snapshots(taken, l.files("path", "title", "artist")).select("file_id", "snapshot_time", "path", "title")
+
+
+@query("tag_renamed", with_("g") + "SELECT group_id, array_to_string(list_transform(group_tags, lambda x: CASE WHEN x = 'album_year_diff' THEN 'release_year_diff' ELSE x END), ',') AS group_tags FROM g")
+def tag_renamed(l):
+    return gr.rename_tag(l.groups(), "album_year_diff", "release_year_diff").select("group_id", F.array_join("group_tags", ",").alias("group_tags"))
+
+
 @query("override_changes", with_("r") + "SELECT file_id, NOT keep AS keep FROM r WHERE keep UNION ALL SELECT file_id, keep FROM r WHERE NOT keep AND reason IS NOT NULL")
 def override_changes(l):
     rows = l.overrides()

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from ..functions import quality as q
-from ..functions.text import NARROW_MARKS, SPACE, WIDE_MARKS
+from ..functions.text import ARTIST_SEPARATOR, NARROW_MARKS, NOISE, SPACE, WIDE_MARKS
 
 ENRICHMENT_ORDER = "scraped_at DESC NULLS LAST, " + ", ".join(f"{c} DESC NULLS LAST" for c in ("mb_recording_id", "mb_release_id", "title", "artist", "album", "genre", "album_year", "track_number", "duration", "confidence", "match_basis"))
 
+def _decompositions() -> str:
+    """What characters decompose into, from the standard library's tables; syllables of Hangul, of which none are in titles here, and compatibility ideographs stay."""
+    listed = (chr(c) for c in range(0x80, 0x2F800) if not 0xD800 <= c < 0xE000 and not 0xAC00 <= c < 0xD7A4 and not 0xF900 <= c < 0xFB00)
+    return ", ".join(f"{quote(c)}: {quote(d)}" for c in listed if (d := unicodedata.normalize("NFKD", c)) != c)
+
+
+def quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 PARTS = {
+    "nk": f"SELECT MAP {{{_decompositions()}}} AS nk",
     "f": "SELECT DISTINCT ON (id) * FROM files",
     "g": "SELECT DISTINCT ON (group_id) * FROM dup_groups",
     "m": "SELECT DISTINCT group_id, file_id FROM group_tracks WHERE file_id IS NOT NULL AND group_id IN (SELECT group_id FROM dup_groups)",
@@ -23,10 +36,6 @@ def with_(names: str, more: str = "", recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n"
 
 
-def quote(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 def lowered(x: str) -> str:
     """Lower case where, as in Unicode, the dotted capital I gives two characters."""
     return f"lower(replace(coalesce({x}, ''), 'İ', 'i' || chr(775)))"
@@ -45,6 +54,65 @@ def normal(x: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce({x}, ''))), '[^\p{{L}}\p{{N}}_]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
+def nfkd(x: str) -> str:
+    """Compatibility decomposition; the part ``nk`` must be joined."""
+    return f"CASE WHEN regexp_matches({x}, '[^\\x00-\\x7f]') THEN array_to_string(list_transform(string_split({x}, ''), lambda ch: coalesce(nk[ch], ch)), '') ELSE {x} END"
+
+
+def _bare(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(lower(regexp_replace({x}, '[\x{{0300}}-\x{{036f}}]', '', 'g')), '[^\p{{L}}\p{{N}}_]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def normalized(x: str) -> str:
+    """Normalised text of any value; needs ``nk``."""
+    return _bare(nfkd(f"coalesce({x}, '')"))
+
+
+def parts(x: str) -> str:
+    """The normalised artists of a credit; needs ``nk``."""
+    marked = nfkd(f"regexp_replace(coalesce({x}, ''), {quote(ARTIST_SEPARATOR)}, chr(1), 'g')")
+    return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda part: {_bare('part')}), lambda part: part <> '')"
+
+
+def share(a: str, b: str) -> str:
+    """Share of the tokens of list ``a`` that equal, hold or lie within one of ``b``."""
+    return f"CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_filter({a}, lambda x: len(list_filter({b}, lambda y: contains(x, y) OR contains(y, x))) > 0)) / greatest(len({a}), len({b})) ELSE 0 END"
+
+
+def cleaned(x: str) -> str:
+    """A title without brackets, guests and noise words; needs ``nk``."""
+    out = f"regexp_replace(coalesce({x}, ''), '\\s*[\\(\\[][^\\)\\]]{{0,40}}[\\)\\]]\\s*', ' ', 'g')"
+    out = f"regexp_replace({out}, '(?i)\\s*(feat\\.?|ft\\.?|with)\\s+.*', '', 'g')"
+    return normalized(f"regexp_replace({out}, '(?i)\\s*({NOISE})\\s*', ' ', 'g')")
+
+
+def basename(path: str) -> str:
+    return rf"regexp_replace(regexp_extract(coalesce({path}, ''), '([^/\\]*)$', 1), '(.)\.[^.]*$', '\1')"
+
+
+#: Files with the title of their tag or path, step by step; needs ``f`` and ``nk``.
+TITLES = rf"""t1 AS (SELECT f.*, {basename('path')} AS file_name, trim(coalesce(title, '')) AS tag FROM f),
+t2 AS (SELECT *, regexp_replace(file_name, '(?i)^(?:track\s*)?\d{{1,3}}[\s.\-_]+', '') AS no_number FROM t1),
+t3 AS (SELECT *, trim(regexp_extract(no_number, '^(.+?)\s*[-–—]\s*(.+)$', 2)) AS inner_title FROM t2),
+t4 AS (SELECT t3.*, length(tag) >= 2 AND {normalized('tag')} <> {normalized('file_name')} AS tagged FROM t3, nk),
+ft AS (SELECT t4.*, {cleaned("CASE WHEN tagged THEN tag WHEN length(inner_title) >= 2 THEN inner_title ELSE no_number END")} AS clean, {cleaned('title')} AS title_key, {normalized('artist')} AS artist_key FROM t4, nk)"""
+
+
+def edits(a: str, b: str) -> str:
+    """Edits in characters: both texts spelled with one byte for each distinct character, as the engine counts bytes."""
+    signs = f"list_distinct(string_split({a} || {b}, ''))"
+    spelled = lambda x: f"array_to_string(list_transform(string_split({x}, ''), lambda ch: chr((33 + list_position({signs}, ch))::INT)), '')"
+    return f"levenshtein({spelled(a)}, {spelled(b)})"
+
+
+def likeness(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = {b} THEN 1 WHEN {a} = '' OR {b} = '' THEN 0 ELSE 1 - {edits(a, b)} / greatest(length({a}), length({b})) END"
+
+
+def plausible(ta: str, tb: str, aa: str, ab: str) -> str:
+    return f"(({ta} <> '' AND {tb} <> '' AND {likeness(ta, tb)} >= 0.5) OR ({aa} <> '' AND {ab} <> '' AND {likeness(aa, ab)} >= 0.5))"
+
+
 def tier(p: str = "") -> str:
     code, rate, bits = f"upper(coalesce({p}format, ''))", f"coalesce(nullif({p}sample_rate, 0), 44100)", f"coalesce(nullif({p}bits_per_sample, 0), 16)"
     kbit = f"coalesce({p}bitrate, 0)"

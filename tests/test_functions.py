@@ -127,3 +127,15 @@ def test_status_tiers(spark, said, basis, want):
     kinds = ("string", "string", "string", "int", "int", "string")
     given = {n: F.lit(v).cast(k) for n, v, k in zip(names, said, kinds)} | {"match_basis": F.lit(basis)}
     assert value(spark, q.status_tier(own, given)) == want
+
+
+def test_scripts_of_titles(spark):
+    """M16 with a caller's table: which script variant a text is in, and that a release in the album's own script wins."""
+    from reprise.operators.enrichment import pick_release
+
+    fold = {"鐘": "钟", "東": "东", "風": "风"}
+    assert [value(spark, s.script_of(F.lit(t), fold)) for t in ("大鐘", "大钟", "大", "鐘钟", "abc")] == ["tw", "cn", None, None, None]
+    releases = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(t).alias("title"), F.lit("Official").alias("status"), F.lit(d).alias("date")) for i, t, d in (("a", "東風", "1999"), ("b", "东风", "2005"))])
+    pick = lambda album, table: value(spark, pick_release(releases, F.lit(album), table)["release"]["id"])
+    assert pick("东风", fold) == "b" and pick("東風", fold) == "a" and pick("Other", fold) == "a"
+    assert pick("东风", None) == "b"  # without a table the characters differ

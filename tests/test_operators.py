@@ -102,7 +102,7 @@ def test_lanes_compare_hot_durations(spark):
     rows = files(spark, *({"id": i, "fingerprint": x, "fingerprint_method": "spectral", "fingerprint_duration": 100.0, "chromaprint_raw": x, "duration": 100.0} for i, x in enumerate(base)))
     for lane in (ma.fingerprint_lane, ma.second_lane):
         found = lane(rows).select("a", "b", "accepted").toPandas()
-        assert len(found) == 602 * 601 // 2 and found[found.accepted][["a", "b"]].values.tolist() == [[0, 601]]
+        assert len(found) < 602 and found[found.accepted][["a", "b"]].values.tolist() == [[0, 601]]
 
 
 def test_edit_similarity_of_all_titles(spark, tmp_path):
@@ -110,7 +110,7 @@ def test_edit_similarity_of_all_titles(spark, tmp_path):
     files(spark, *({"id": i, "title": a} for i, (a, _) in enumerate(titles))).write.parquet(str(tmp_path / "files.parquet"))
     said = [(i, "acoustid", b, 1) for i, (_, b) in enumerate(titles)]
     spark.createDataFrame(said, "file_id bigint, source string, title string, scraped_at bigint").write.parquet(str(tmp_path / "scraped_meta.parquet"))
-    got = {r["file_id"]: r["sim"] for r in registry.QUERIES["edit_similarity_all"](spark, str(tmp_path)).collect()}
+    got = {r["file_id"]: r["sim"] for r in registry.QUERIES["edit_similarity"](spark, str(tmp_path)).collect()}
 
     def edits(a, b):
         return max(len(a), len(b)) if not a or not b else min(edits(a[1:], b) + 1, edits(a, b[1:]) + 1, edits(a[1:], b[1:]) + (a[0] != b[0]))
@@ -321,3 +321,34 @@ def test_a_hot_vertex_is_split(spark, split_plans):
     hot = spark.range(1, 40_000).select(F.lit(0).cast("bigint").alias("a"), F.col("id").alias("b"))
     edges = hot.unionByName(spark.range(40_000, 120_000, 2).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
     assert split_plans(lambda: connected_components(edges).count()) > 0
+
+
+def test_misses_are_counted_by_reason(spark):
+    rows = [(None, None, 200, 3), (None, None, 200, 0), (None, None, 429, None), (None, None, 503, None), (None, None, None, None), (4, "x", 200, None), (7, "odd", 200, None), (None, None, 200, 0)]
+    got = {r["reason"]: (r["n"], r["settled"], r["transient"]) for r in en.miss_histogram(spark.createDataFrame(rows, "code int, message string, status int, n_results int")).collect()}
+    assert got == {"no-results": (2, True, False), "rate-limited": (1, False, True), "http-503": (1, False, True), "network-error": (1, False, True), "invalid-key": (1, False, False), "api-error-7": (1, False, False)}
+
+
+def test_only_whole_tables_are_taken_over(spark, tmp_path):
+    store, source = sto.Versions(spark, str(tmp_path / "store")), str(tmp_path / "old")
+    spark.range(5).coalesce(1).write.parquet(source)
+    assert store.copy_from(store.probe(source)) == 1 and store.read().count() == 5
+    with pytest.raises(FileExistsError):
+        store.copy_from(store.probe(source))
+    (tmp_path / "old" / "part-x.parquet").write_bytes(b"PAR1 torn")
+    for bad in (source, str(tmp_path)):
+        with pytest.raises(ValueError):
+            store.probe(bad)
+
+
+def test_fingerprints_of_tags_meet_only_their_kind(spark):
+    """M6, M7: tags with tags (equal whole durations, or with compat off like titles), never with words."""
+    words = [0xC0FFEE11] * 40  # the same word throughout
+    rows = files(
+        spark, {"id": 1, "title": "Blue Moon Song", "artist": "A", "fingerprint_method": "metadata", "fingerprint_duration": 200.2}, {"id": 2, "title": "Blue Moon Song", "artist": "A", "fingerprint_method": "metadata", "fingerprint_duration": 199.9},
+        {"id": 3, "title": "Blue Moon Sung", "artist": "A", "fingerprint_method": "metadata", "fingerprint_duration": 206.0}, {"id": 4, "title": "Blue Moon Song", "artist": "A", "fingerprint": words, "fingerprint_method": "spectral", "fingerprint_duration": 200.0},
+        {"id": 5, "title": "Other", "artist": "B", "fingerprint": [w ^ 1 for w in words], "fingerprint_method": "spectral", "fingerprint_duration": 200.0}, {"id": 6, "title": "Unlike anything", "artist": "Zz", "fingerprint_method": "metadata", "fingerprint_duration": 200.0}, {"id": 7, "fingerprint_method": "metadata"}, {"id": 8},
+    )
+    got = lambda c: {(r["a"], r["b"]): (round(r["sim"], 2), r["accepted"]) for r in ma.fingerprint_lane(rows, c).collect()}
+    assert got(Config()) == {(1, 2): (1.0, True), (4, 5): (0.97, False), (1, 6): (0.96, False), (2, 6): (0.96, False)}
+    assert got(Config(compat=False)) == {(1, 2): (1.0, True), (1, 3): (0.93, True), (2, 3): (0.93, True), (4, 5): (0.97, False)}
