@@ -359,13 +359,17 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([(text, share) for _, text, share in rows]))], pa.binary())], ["network"])
 
 
-def network_of(sample: DataFrame) -> Network:
-    """The network trained on a bounded sample, by one task; trained once a session for each sample and these settings."""
+def network_of(sample: DataFrame, reuse: bool = False) -> Network:
+    """The network trained on a bounded sample, by one task.
+
+    ``reuse`` takes the network an earlier call of the session trained on the same sample, if there is one. The
+    registered queries do not: each does its whole work whenever it is run.
+    """
     spark = sample.sparkSession
     held = Stored(sample, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id", "text", "share")).alias("x"))
     key = (held.seen["n"], held.seen["x"])
     known = spark.sparkContext.__dict__.setdefault("_reprise_networks", {})
-    if key not in known:
+    if not reuse or key not in known:
         if not key[0]:
             known[key] = train([])
         else:

@@ -257,14 +257,18 @@ class Model:
         return (True, best[1], garbled) if garbled > DECISION and best else (False, None, garbled)
 
     @staticmethod
-    def fit(files: DataFrame) -> Model:
-        """Expectation-maximization over all titles, artists and albums of ``files``; once a session for the same values."""
+    def fit(files: DataFrame, reuse: bool = False) -> Model:
+        """Expectation-maximization over all titles, artists and albums of ``files``.
+
+        ``reuse`` takes the model an earlier call of the session fitted to the same values, if there is one. The
+        registered queries do not: each does its whole work whenever it is run.
+        """
         spark, values = files.sparkSession, texts(files)
         # The rounds are work for Python: spread over all partitions, not by bytes, and a text of many sources once.
         seen = (F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("source", "field", "text")).alias("x"))
         counted = Stored(values.filter("text <> ''").groupBy("source", "field", "text").count().drop("count").repartition(partitions(spark), "text"), *seen)
         known, same = spark.sparkContext.__dict__.setdefault("_reprise_models", {}), (counted.seen["n"], counted.seen["x"])
-        if same in known:
+        if reuse and same in known:
             counted.drop()
             return known[same]
         model = None

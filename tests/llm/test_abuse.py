@@ -88,10 +88,10 @@ def test_sample_is_bounded_and_fair(spark, monkeypatch, tmp_path):
     assert A.sample_of(spark, str(tmp_path)).count() == 5
 
 
-def test_trained_once_a_session(spark, monkeypatch):
+def test_trained_once_a_session_if_wanted(spark):
     sample = spark.createDataFrame([(i, CALM[i % 8] + (RUDE[i % 4] if i % 5 == 0 else ""), float(i % 5 == 0)) for i in range(60)], "doc_id bigint, text string, share double")
     net = A.network_of(sample)
-    assert 0 < net.threshold < 1 and A.network_of(sample) is net
+    assert 0 < net.threshold < 1 and A.network_of(sample, reuse=True) is net and A.network_of(sample) is not net
     assert A.network_of(sample.limit(0)).threshold > 1
 
 

@@ -43,9 +43,10 @@ def test_lost_bytes_are_weighed_like_any_evidence(spark):
     assert sure.weigh("s", "title", "Bridge� of")[0][2] < 1
 
 
-def test_fitted_once_a_session(spark):
+def test_fitted_once_a_session_if_wanted(spark):
     files = library(spark, ["x"])
-    assert E.Model.fit(files) is E.Model.fit(files.drop("text"))
+    model = E.Model.fit(files)
+    assert E.Model.fit(files.drop("text"), reuse=True) is model and E.Model.fit(files) is not model
 
 
 def test_odd_inputs(spark):
