@@ -110,6 +110,42 @@ class Versions:
             self._fs.delete(self._path(f"{self.root}/v{number}"), True)
 
 
+class Deltas:
+    """A table as a base and the batches since: a batch costs what it holds, not what the table holds.
+
+    Rows have a ``batch`` column. A batch written again under its number replaces itself. ``compact`` writes a new base
+    and drops the batches in it; a failure in between leaves rows twice, which readers settle by key and batch.
+    """
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root, self.base = spark, root, Versions(spark, f"{root}/base")
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(name)
+
+    def batches(self) -> list[int]:
+        fs, at = self.base._fs, f"{self.root}/batches"
+        names = [s.getPath().getName() for s in fs.listStatus(self._path(at))] if fs.exists(self._path(at)) else []
+        return sorted(int(n) for n in names if n.isdigit() and fs.exists(self._path(f"{at}/{n}/_SUCCESS")))
+
+    def write(self, rows: DataFrame, number: int) -> None:
+        rows.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{self.root}/batches/{number}")
+
+    def read(self) -> DataFrame | None:
+        """All rows of the base and of the batches, None where there are none yet."""
+        paths = [f"{self.root}/batches/{n}" for n in self.batches()]
+        parts = ([self.base.read()] if self.base.numbers() else []) + ([self.spark.read.parquet(*paths)] if paths else [])
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]) if parts else None
+
+    def compact(self, rows: DataFrame) -> None:
+        """``rows`` (with their ``batch``) are the table: they become its base."""
+        done = self.batches()
+        self.base.write(rows)
+        for n in done:
+            remove(self.spark, f"{self.root}/batches/{n}")
+        self.base.prune(1)
+
+
 def last_per_key(rows: DataFrame, keys: list[str], *order) -> DataFrame:
     """Of each key the row that comes first in ``order``; further columns settle ties."""
     from pyspark.sql import Window

@@ -5,8 +5,9 @@ import struct
 import numpy as np
 import pytest
 from reprise.operators.matching import attribute_lane
-from reprise.operators.storage import Versions
+from reprise.operators.storage import Deltas
 from reprise.sources import audio, filesystem, tags
+from reprise.streaming import incremental
 from reprise.streaming.incremental import IncrementalMatcher
 
 
@@ -175,8 +176,27 @@ def test_incremental_matching(spark, tmp_path):
     for batch in (rows[:3], rows[3:]):
         spark.createDataFrame(batch, schema).write.mode("append").parquet(source)
         matcher.start(spark.readStream.schema(schema).parquet(source), str(tmp_path / "ck"), availableNow=True).awaitTermination()
-    got = sorted(map(tuple, Versions(spark, str(tmp_path / "out/pairs")).read().collect()))
-    want = sorted((r["a"], r["b"]) for r in attribute_lane(Versions(spark, str(tmp_path / "out/files")).read()).collect())
+    got = sorted((r["a"], r["b"]) for r in matcher.pairs(spark).collect())
+    want = sorted((r["a"], r["b"]) for r in attribute_lane(matcher.files(spark)).collect())
     assert got == want == [(1, 2), (1, 3), (2, 3)]
     matcher(spark.createDataFrame(rows[3:], schema), 9)
-    assert sorted(map(tuple, Versions(spark, str(tmp_path / "out/pairs")).read().collect())) == got
+    assert sorted((r["a"], r["b"]) for r in matcher.pairs(spark).collect()) == got
+
+
+def test_batches_touch_their_blocks_alone(spark, tmp_path, monkeypatch):
+    """Files of other titles are not compared again; a changed file loses its pairs; compaction changes nothing."""
+    monkeypatch.setattr(incremental, "COMPACT", 3)
+    schema, seen = "id bigint, path string, title string, artist string, duration double, scan_time bigint", []
+
+    def lane(files):
+        seen.append(files.count())
+        return attribute_lane(files)
+
+    by_title = lambda arrived, files: files.join(arrived.select("title").distinct(), "title", "left_semi")
+    matcher = IncrementalMatcher(str(tmp_path), lane, by_title)
+    batches = [[(k, f"/{k}", f"Song{k % 5} Name", "A", 100.0, 1) for k in range(20)], [(20, "/20", "Song1 Name", "A", 100.0, 2)], [(1, "/1", "Song2 Name", "A", 100.0, 3)], [(6, "/6", "Song3 Name", "A", 100.0, 4), (99, "/99", "None such", "B", 1.0, 4)]]
+    for n, rows in enumerate(batches):
+        matcher(spark.createDataFrame(rows, schema), n)
+    got = sorted((r["a"], r["b"]) for r in matcher.pairs(spark).collect())
+    assert got == sorted((r["a"], r["b"]) for r in attribute_lane(matcher.files(spark)).collect())
+    assert seen == [20, 5, 5, 6] and len(Deltas(spark, f"{tmp_path}/files").batches()) == 1
