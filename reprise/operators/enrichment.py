@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quality as q
-from ..functions.similarity import dice, duration_score, script_agreement, script_of
-from ..functions.text import album_key, leading_int, normalize, round_half_up
+from ..functions.similarity import bigrams, dice, duration_score, script_agreement, script_of
+from ..functions.text import album_key, fold_script, leading_int, normalize, round_half_up, wide_key
 from .storage import cut
 
 # Weights and bounds of release choice and candidate scores.
@@ -17,47 +17,75 @@ FIELDS = ("title", "artist", "album", "album_year", "track_number", "genre", "du
 COMMON = 1000
 
 
-def search(files: DataFrame, catalogue: DataFrame, limit: int = 25) -> DataFrame:
+def search(files: DataFrame, catalogue: DataFrame, limit: int = 25, fold: dict[str, str] | None = None) -> DataFrame:
     """Offline text search: records of the same normalised title whose artist is not another one, best score first, at most ``limit`` a file.
 
-    The limit is that of the search. Titles of very many records are joined in parts, by the same rule.
+    The limit is that of the search. Titles of very many records are joined in parts, by the same rule. Only ids and
+    scores go through the search; what the records and files hold joins the hits afterwards, ``prepared`` for the
+    choice of a release once a record.
     """
-    named = F.array_join("artists.name", ", ")
-    recs = catalogue.filter("rec_id IS NOT NULL").dropDuplicates(["rec_id"]).withColumn("key", normalize(F.col("title"))).withColumn("rec_artist", normalize(named)).filter("key <> ''")
-    parts = recs.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / COMMON).alias("parts"))
-    own = files.select("id", "title", "artist", "album", "duration", "track_number").withColumn("key", normalize(F.col("title"))).withColumn("own_artist", normalize(F.col("artist"))).filter("key <> ''")
-    cols = [c for c in recs.columns if c not in ("key", "rec_artist", "title")]
-    side = recs.join(parts, "key").select("key", F.pmod(F.xxhash64("rec_id"), F.col("parts")).alias("part"), "rec_artist", F.col("title").alias("rec_title"), *cols)
+    recs = catalogue.filter("rec_id IS NOT NULL").dropDuplicates(["rec_id"])
+    named = recs.select("rec_id", "score", normalize(F.col("title")).alias("key"), normalize(F.array_join("artists.name", ", ")).alias("rec_artist")).filter("key <> ''")
+    parts = named.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / COMMON).alias("parts"))
+    own = files.select("id", normalize(F.col("title")).alias("key"), normalize(F.col("artist")).alias("own_artist")).filter("key <> ''")
+    side = named.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("rec_id"), F.col("parts"))).drop("parts")
     own = own.join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
     near = (F.col("own_artist") == "") | (F.col("rec_artist") == "") | F.contains("own_artist", "rec_artist") | F.contains("rec_artist", "own_artist")
-    found = own.join(side, ["key", "part"]).filter(near).drop("part")
     w = Window.partitionBy("id").orderBy(F.col("score").desc_nulls_last(), "rec_id")
-    return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
+    hits = own.join(side, ["key", "part"]).filter(near).select("id", "rec_id", "score").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
+    full = recs.select("rec_id", F.col("title").alias("rec_title"), *[c for c in recs.columns if c not in ("rec_id", "title", "score")], *([prepared(F.col("releases"), fold).alias("prepared")] if "releases" in recs.columns else []))
+    return hits.join(full, "rec_id").join(files.select("id", "title", "artist", "album", "duration", "track_number", album_bigrams(F.col("album"), fold).alias("album_grams")), "id")
 
 
-def pick_release(releases: Column, album: Column, fold: dict[str, str] | None = None) -> Column:
-    """The release that suits an album best: of those near the best match the earliest official one; without an album the earliest official one. A struct (release, album_sim), null without releases.
+def _grams(title: Column, fold: dict[str, str] | None) -> Column:
+    """The folded key of an album title and its bigrams."""
+    key = wide_key(fold_script(album_key(title), fold))
+    return F.struct(key.alias("key"), bigrams(key).alias("grams"))
 
-    ``fold`` has the simple characters of traditional ones; with it, an album in the same script as a release counts more (M16).
-    """
+
+def album_bigrams(album: Column, fold: dict[str, str] | None = None) -> Column:
+    """What release choice needs of a file's album, null without one."""
+    return F.when(album != "", F.struct(_grams(album, fold).alias("key"), (script_of(album, fold) if fold else F.lit(None).cast("string")).alias("script")))
+
+
+def prepared(releases: Column, fold: dict[str, str] | None = None) -> Column:
+    """What release choice needs of each release, in its order: worked out once a record, not once a candidate."""
     year = lambda r: F.when(leading_int(r["date"]) > 0, leading_int(r["date"])).otherwise(9999)
-    sim = lambda r: dice(album_key(r["title"]), album_key(album), fold)
-    has = F.coalesce(album != "", F.lit(False))
-    scored = F.transform(releases, lambda r, i: F.struct((r["status"] != "Official").alias("other"), year(r).alias("year"), i.alias("place"), F.when(has, sim(r)).otherwise(0.0).alias("sim"), r.alias("release")))
-    script = lambda r: script_agreement(script_of(album, fold), script_of(r["title"], fold)) if fold else F.lit(0.5)
-    rate = lambda s: ALBUM_WEIGHT * s["sim"] + SCRIPT_WEIGHT * script(s["release"])
+    script = lambda r: script_of(r["title"], fold) if fold else F.lit(None).cast("string")
+    return F.transform(releases, lambda r, i: F.struct(F.coalesce(r["status"] != "Official", F.lit(True)).alias("other"), year(r).alias("year"), i.alias("place"), _grams(r["title"], fold).alias("key"), script(r).alias("script"), r.alias("release")))
+
+
+def choose_release(ready: Column, album: Column) -> Column:
+    """The release that suits an album best (``prepared`` releases, ``album_bigrams``): of those near the best match the
+    earliest official one; without an album the earliest official one. A struct (release, album_sim), null without releases."""
+    has, own = album.isNotNull(), album["key"]
+
+    def sim(r: Column) -> Column:
+        k = r["key"]
+        return F.when((k["key"] == "") | (own["key"] == ""), 0.0).when(k["key"] == own["key"], 1.0).otherwise(2 * F.size(F.array_intersect(k["grams"], own["grams"])) / (F.size(k["grams"]) + F.size(own["grams"])))
+
+    scored = F.transform(ready, lambda r: F.struct(r["other"].alias("other"), r["year"].alias("year"), r["place"].alias("place"), F.when(has, sim(r)).otherwise(0.0).alias("sim"), script_agreement(album["script"], r["script"]).alias("script")))
+    rate = lambda s: ALBUM_WEIGHT * s["sim"] + SCRIPT_WEIGHT * s["script"]
     top = F.array_max(F.transform(scored, rate))
     close = F.filter(scored, lambda s: ~has | (rate(s) >= F.greatest(F.lit(LEAST_SCORE), top * TOP_FRACTION)))
     pool = F.when(F.size(close) > 0, close).otherwise(F.transform(scored, lambda s: s.withField("sim", F.lit(0.0))))
     # Least: official before others, then the earliest, then the first.
-    best = F.array_min(F.transform(pool, lambda s: F.struct(F.coalesce(s["other"], F.lit(True)).alias("other"), s["year"].alias("year"), s["place"].alias("place"), s["sim"].alias("sim"), s["release"].alias("release"))))
-    return F.struct(best["release"].alias("release"), F.coalesce(best["sim"], F.lit(0.0)).alias("album_sim"))
+    best = F.array_min(F.transform(pool, lambda s: F.struct(s["other"].alias("other"), s["year"].alias("year"), s["place"].alias("place"), s["sim"].alias("sim"))))
+    return F.struct(F.get(ready, best["place"])["release"].alias("release"), F.coalesce(best["sim"], F.lit(0.0)).alias("album_sim"))
+
 
+def pick_release(releases: Column, album: Column, fold: dict[str, str] | None = None) -> Column:
+    """E1 over plain releases and an album title.
 
-def candidates(found: DataFrame, fold: dict[str, str] | None = None) -> DataFrame:
+    ``fold`` has the simple characters of traditional ones; with it, an album in the same script as a release counts more (M16).
+    """
+    return choose_release(prepared(releases, fold), album_bigrams(album, fold))
+
+
+def candidates(found: DataFrame) -> DataFrame:
     """Rows of ``search`` with the chosen release, the scores, whether the match is exact, and the formatted result."""
     seconds = F.coalesce(F.when(F.col("length_ms") > 0, F.col("length_ms") / 1000), F.when(F.col("duration_s") > 0, F.col("duration_s")))
-    out = found.withColumn("picked", pick_release(F.col("releases"), F.col("album"), fold)).withColumn("seconds", seconds)
+    out = found.withColumn("picked", choose_release(F.col("prepared"), F.col("album_grams"))).withColumn("seconds", seconds)
     out = out.withColumn("album_sim", F.coalesce("picked.album_sim", F.lit(0.0))).withColumn("dur_score", duration_score(F.col("duration"), F.col("seconds")))
     bonus = F.when((F.col("track_number") > 0) & (F.col("picked.release.track_number") == F.col("track_number")), 0.15).otherwise(0.0)
     total = 0.3 * F.coalesce("score", F.lit(0)) / 100 + 0.5 * F.col("album_sim") + 0.2 * F.coalesce("dur_score", F.lit(0.0)) + bonus
@@ -66,7 +94,7 @@ def candidates(found: DataFrame, fold: dict[str, str] | None = None) -> DataFram
     return out.select(
         F.col("id").alias("file_id"), "rec_id", F.col("picked.release.id").alias("release_id"), F.col("rec_title").alias("title"), F.array_join("artists.name", ", ").alias("artist"), F.nullif(album_key(F.col("picked.release.title")), F.lit("")).alias("album"),
         leading_int(F.col("picked.release.date")).alias("album_year"), F.coalesce("picked.release.track_number", F.lit(0)).alias("track_number"), genre.alias("genre"), round_half_up(F.col("seconds")).alias("duration"),
-        F.coalesce("score", F.lit(0)).alias("score"), F.round("album_sim", 6).alias("album_sim"), "dur_score", "total", "basis", "releases",
+        F.coalesce("score", F.lit(0)).alias("score"), F.round("album_sim", 6).alias("album_sim"), "dur_score", "total", "basis",
         F.row_number().over(Window.partitionBy("id").orderBy(F.col("total").desc(), "rec_id")).alias("rank"),
         (F.col("album").isNotNull() & (F.col("album") != "")).alias("has_album"), (F.coalesce("duration", F.lit(0)) > 0).alias("has_duration"), F.col("album").alias("own_album"),
     )
@@ -137,10 +165,13 @@ def miss_histogram(lookups: DataFrame) -> DataFrame:
     return counted.select("reason", "n", F.col("reason").isin(*SETTLED).alias("settled"), transient.alias("transient"))
 
 
-def enrich(files: DataFrame, catalogue: DataFrame, fold: dict[str, str] | None = None) -> DataFrame:
-    """E15 without a network: search, score, decide and refine for all files in one plan."""
-    ranked = cut(candidates(search(files, catalogue), fold))
-    return refined(decide(ranked), catalogue.select("rec_id", "releases"))
+def enrich(files: DataFrame, catalogue: DataFrame, fold: dict[str, str] | None = None, all_releases: DataFrame | None = None) -> DataFrame:
+    """E15 without a network: search, score, decide and refine for all files in one plan.
+
+    ``all_releases`` (rec_id, releases) has more releases than the catalogue's records; without it there is nothing to refine.
+    """
+    ranked = cut(candidates(search(files, catalogue, fold=fold)))
+    return refined(decide(ranked), all_releases) if all_releases is not None else decide(ranked)
 
 
 def _own() -> dict[str, Column]:
