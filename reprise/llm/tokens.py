@@ -18,6 +18,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,11 +138,12 @@ def token_ids(texts: DataFrame, item: str, text: str, path: str) -> DataFrame:
     """Rows (item, ids) of all texts, without special tokens.
 
     An empty and a null text have the empty list; texts are encoded whole, whatever their length; each row of
-    the input gives one row; an empty table gives none.
+    the input gives one row; an empty table gives none. The vocabulary is sent to the workers, wherever they run.
     """
+    texts.sparkSession.sparkContext.addFile(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = tokenizer(path)
+        pairs = tokenizer(SparkFiles.get(os.path.basename(path)))
         for batch in batches:
             ids = pairs.encode_batch(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [item, "ids"])
