@@ -370,6 +370,7 @@ def network_of(sample: DataFrame, reuse: bool = False) -> Network:
     key = (held.seen["n"], held.seen["x"])
     known = spark.sparkContext.__dict__.setdefault("_reprise_networks", {})
     if not reuse or key not in known:
+        known.clear()  # the last network alone is kept
         if not key[0]:
             known[key] = train([])
         else:

@@ -279,6 +279,7 @@ class Model:
             told = strange.mapInArrow(_expect(model), ddl).groupBy("what", "key").agg(F.sum("n").alias("n")).collect()
             model = _maximize([*plain, *told])
         counted.drop()
+        known.clear()  # the last model alone is kept
         known[same] = model
         return model
 
