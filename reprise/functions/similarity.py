@@ -139,9 +139,11 @@ def half_word_keys(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np
         pair = a[:-1][inside] << np.uint64(16) | b[1:][inside]
         mixed = (pair | np.uint64(n) << np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
         kept = (pair == 0) | ((mixed >> np.uint64(40)) % np.uint64(KEPT_KEYS) == 0) | (mixed == np.repeat(np.minimum.reduceat(mixed, edges), counts))
-        found.append(np.stack([where[kept], np.where(pair == 0, np.uint64(0), pair | np.uint64(n) << np.uint64(32))[kept].astype(np.int64)]))
-    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-    return pairs[0], pairs[1]
+        tagged = np.where(pair == 0, np.uint64(0), pair | np.uint64(n) << np.uint64(32))
+        found.append((where[kept].astype(np.uint64) << np.uint64(34)) | tagged[kept])  # 34 bits a key: lists of a batch fit beside
+    both = np.sort(np.concatenate(found))
+    both = both[np.concatenate(([True], both[1:] != both[:-1]))]
+    return (both >> np.uint64(34)).astype(np.int64), (both & np.uint64((1 << 34) - 1)).astype(np.int64)
 
 
 def with_half_word_keys(rows: DataFrame, words: str) -> DataFrame:
