@@ -75,10 +75,10 @@ def split_plans(spark):
 
     def run(job):
         store = spark._jsparkSession.sharedState().statusStore()
-        before = store.executionsCount()
+        known = lambda: [said.apply(i) for said in [store.executionsList()] for i in range(said.size())]
+        last = max((e.executionId() for e in known()), default=-1)  # old ones are forgotten: numbers, not places
         job()
-        said = store.executionsList()
-        return sum("skew=true" in said.apply(i).physicalPlanDescription() for i in range(before, said.size()))
+        return sum("skew=true" in e.physicalPlanDescription() for e in known() if e.executionId() > last)
 
     old = {k: spark.conf.get(k) for k in conf}
     for k, v in conf.items():
