@@ -74,6 +74,17 @@ def test_bands(spark):
     assert pairs(ma.band_pairs(df, F.col("d"))) == want == pairs(ma.band_pairs(df, F.col("d"), limit=600))
 
 
+def test_bands_are_streamed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ma, "BLOCK", 7)
+    rng = random.Random(4)
+    values = [(i, 50.0 if i % 2 else round(rng.uniform(30, 70), 1)) for i in range(100)]
+    want = [(a, b) for a, x in values for b, y in values if a < b and abs(int(x / 4 + 0.5) - int(y / 4 + 0.5)) <= 2]
+    found = ma.band_pairs(spark.createDataFrame(values, "id bigint, d double"), F.col("d"))
+    assert pairs(found) == want  # each once
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]  # the pairs themselves are not gathered again
+
+
 def test_hot_bands_make_no_pairs(spark):
     df = spark.createDataFrame([(i, 50.0) for i in range(30)], "id bigint, d double")
     assert pairs(ma.band_pairs(df, F.col("d"), limit=20)) == [] and len(pairs(ma.band_pairs(df, F.col("d")))) == 435
