@@ -1,7 +1,7 @@
 """Near-duplicate records with small edits, by a blocked sparse matrix product.
 
-The incidence matrix of documents by grams (here the 32-bit words of a fingerprint, and a choice of the pairs of halves
-of two words in succession, which lists share even where no word is equal bit for bit) is cut into blocks of columns by
+The incidence matrix of documents by grams (here the 32-bit words of a fingerprint, and the pairs of halves of two words
+in succession, which lists share even where no word is equal bit for bit) is cut into blocks of columns by
 the gram's hash, as many as keep a block at a bounded size. Each task multiplies its block with its own transpose and sends on the overlap
 counts of the pairs it saw; the counts of all blocks are added up, and pairs below a bound that follows from
 their sizes are discarded. What is left is compared word by word. Exact copies are one class from the start,
@@ -30,10 +30,8 @@ SECONDS = 10.0
 NON_ZERO = 0.1
 #: A pair must share a gram for every so many of the different words of the poorer list to be compared.
 EXACT_ONE_IN = 60
-#: Of the grams of halves one in so many, by its own value, is kept, and all of lists of so few different words.
-KEPT_GRAMS, FEW = 8, 32
 #: Postings of a block, and pairs of a block that are counted at once.
-BLOCK, SLICE = 2_000_000, 4_000_000
+BLOCK, SLICE = 4_000_000, 4_000_000
 #: Word pairs of two lists that are compared at once.
 CELLS = 4_000_000
 #: A gram of more classes than this is multiplied in sub-blocks of this size.
@@ -56,25 +54,22 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def grams(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, document) of lists in a row, each once a document: their words, and chosen pairs of halves of neighbours;
+    """(gram, document) of lists in a row, each once a document: their words, and the pairs of halves of neighbours;
     and how many different words each document has.
 
-    Where every word of two lists differs by a bit, a half of each is equal still, and of 120 words about 15 chosen
-    grams are shared. Chosen are one in ``KEPT_GRAMS``, and all of lists of ``FEW`` different words or less. Two zero
-    halves are no gram beside the zero word.
+    Where every word of two lists differs by a bit, a half of each is equal still, and so is one of the four pairs of
+    halves of any two neighbours. Two zero halves are no gram beside the zero word.
     """
     own = _distinct(doc.astype(np.uint64) << np.uint64(32) | words)
     distinct = np.bincount((own >> np.uint64(32)).astype(np.int64)).astype(np.int32)
     low, high = (x.astype(np.uint64) for x in (words & np.uint32(0xFFFF), words >> np.uint32(16)))
     inside = doc[1:] == doc[:-1]
-    where = doc[:-1][inside]
-    few = distinct[where] <= FEW
+    where = doc[:-1][inside].astype(np.uint64) << np.uint64(32)
     keys = [own]
     for n, (a, b) in enumerate((x, y) for x in (low, high) for y in (low, high)):
         pair = a[:-1][inside] << np.uint64(16) | b[1:][inside]
         mixed = (pair | np.uint64(n + 1) << np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
-        kept = (pair != 0) & (few | ((mixed >> np.uint64(60)) % np.uint64(KEPT_GRAMS) == 0))
-        keys.append(where[kept].astype(np.uint64) << np.uint64(32) | mixed[kept] >> np.uint64(28) & np.uint64(0xFFFFFFFF))
+        keys.append((where | mixed >> np.uint64(28) & np.uint64(0xFFFFFFFF))[pair != 0])
     key = _distinct(np.concatenate(keys))
     return (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), (key >> np.uint64(32)).astype(np.int64), distinct
 
@@ -88,12 +83,13 @@ def _distinct(x: np.ndarray) -> np.ndarray:
 #: A posting carries its list's size as steps of this ratio and its duration in tenths of a second: enough to leave out
 #: most pairs at once; what is near the bounds is compared exactly later.
 RATIO = 1.06
-_NAMES, _KINDS = ["w", "i", "n", "s", "u"], (np.uint32, np.int64, np.uint8, np.uint16, np.uint8)
+_NAMES, _KINDS = ["w", "c", "i", "n", "s", "u"], (np.uint32, np.uint32, np.int64, np.uint8, np.uint16, np.uint8)
 
 
 def _scatter(parts: int):
-    """Postings of each batch, by the part of their gram: rows (part, w, i, n, s, u) of packed arrays: gram, id, rough size, rough
-    duration (0 unknown), and how many grams a pair must share by the number of its different words."""
+    """Postings of each batch, by the part of their gram: rows (part, w, c, i, n, s, u) of packed arrays: the grams, list by list,
+    and of each list how many they are, id, rough size, rough duration (0 unknown), and how many grams a pair must share by
+    the number of its different words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,17 +97,19 @@ def _scatter(parts: int):
             sizes = np.array([len(x) // 4 for x in raw], np.int64)
             w, doc, distinct = grams(np.frombuffer(b"".join(raw), np.uint32), np.repeat(np.arange(len(raw)), sizes))
             part = ((w.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
+            order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
             w, doc, part = w[order], doc[order], part[order].astype(np.int64)
+            start = np.flatnonzero(np.concatenate(([len(w) > 0], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1]))))
+            count, doc, of_start = np.diff(np.concatenate((start, [len(w)]))).astype(np.uint32), doc[start], part[start]
             tenths = np.nan_to_num(np.floor(batch.column("seconds").to_numpy(zero_copy_only=False).astype(np.float64) * 10), nan=-1.0)
             of = (
                 batch.column("rep").to_numpy(), np.minimum(255, np.log(sizes) / np.log(RATIO)).astype(np.uint8), np.where((tenths < 0) | (tenths > 65_000), 0, tenths + 1).astype(np.uint16),
                 np.minimum(255, -(-distinct // EXACT_ONE_IN)).astype(np.uint8),
             )
-            cuts = np.searchsorted(part, np.arange(parts + 1))
+            cuts, lists = (np.searchsorted(x, np.arange(parts + 1)) for x in (part, of_start))
             rows = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-            columns = [w, *(x[doc] for x in of)]
-            packed = [pa.array([x[cuts[p] : cuts[p + 1]].tobytes() for p in rows], pa.binary()) for x in columns]
+            columns = [(w, cuts), (count, lists), *((x[doc], lists) for x in of)]
+            packed = [pa.array([x[at[p] : at[p + 1]].tobytes() for p in rows], pa.binary()) for x, at in columns]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *packed], ["part", *_NAMES])
 
     return run
@@ -161,19 +159,25 @@ def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             to += batch.column(name).to_pylist()
     if not got[0]:
         return
-    w, i, n, s, u = (np.frombuffer(b"".join(x), kind) for x, kind in zip(got, _KINDS))
+    w, c, ids, size, seconds, least = (np.frombuffer(b"".join(x), kind) for x, kind in zip(got, _KINDS))
     got.clear()
-    order = np.argsort(w, kind="stable")
-    w, i = w[order], i[order]
+    order = np.argsort(ids)  # places are in the order of ids
+    place = np.empty(len(ids), np.uint64)
+    place[order] = np.arange(len(ids), dtype=np.uint64)
+    ids, size, seconds, least = ids[order], size[order], seconds[order], least[order].astype(np.int64)
+    key = w.astype(np.uint64) << np.uint64(32) | np.repeat(place, c)
+    del w
+    key.sort()
+    w, local = (key >> np.uint64(32)).astype(np.uint32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    del key
     edge = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1], [True])))
     start, count = edge[:-1], np.diff(edge)
-    ids, first, local = np.unique(i, return_index=True, return_inverse=True)
-    first = order[first]
-    size, seconds, least = n[first], s[first], u[first].astype(np.int64)
     grids = (local[start[count == c][:, None] + np.arange(c)] for c in np.unique(count[(count > 1) & (count <= HOT)]))
     for keys in _pairs_of(grids, size, seconds):
         key, overlap = np.unique(keys, return_counts=True)
         a, b = key // len(ids), key % len(ids)
+        other = ids[a] != ids[b]  # an id that came with several lists
+        a, b, overlap = a[other], b[other], overlap[other]
         yield _out(0, ids[a], ids[b], np.minimum(least[a], least[b]), overlap)
     for at, c in zip(start[count > HOT], count[count > HOT]):
         own = local[at : at + c]
@@ -274,12 +278,12 @@ class NearDuplicates:
         packed = base.mapInArrow(_pack, "id bigint, seconds double, h1 bigint, h2 int, words binary")
         self._reps = Stored(packed.groupBy("h1", "h2", "seconds").agg(F.min("id").alias("rep"), F.first("words").alias("words")), F.sum(F.length("words")).alias("bytes"))
         reps = self._reps.df
-        # About two grams a word; of all blocks each holds a bounded number of them.
-        parts = max(partitions(spark), -(-2 * (self._reps.seen["bytes"] or 0) // 4 // BLOCK))
+        # About five grams a word; of all blocks each holds a bounded number of them.
+        parts = max(partitions(spark), -(-5 * (self._reps.seen["bytes"] or 0) // 4 // BLOCK))
         keys = reps.select("rep", F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("seconds").alias("k3"))
         own = base.select("id", "seconds", "h1", "h2").distinct()
         self.members = own.join(keys, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & F.col("seconds").eqNullSafe(F.col("k3"))).select("id", "rep", "seconds")
-        scattered = reps.select("rep", "seconds", "words").mapInArrow(_scatter(parts), "part int, w binary, i binary, n binary, s binary, u binary")
+        scattered = reps.select("rep", "seconds", "words").mapInArrow(_scatter(parts), "part int, w binary, c binary, i binary, n binary, s binary, u binary")
         self._product = Stored(scattered.repartitionById(parts, F.col("part")).mapInArrow(_multiply, DDL), F.sum(F.expr("bigint(kind = 1)")).alias("hot"))
         counts = self._product.df.filter("kind = 0").select("a", "b", "u", "overlap")
         if self._product.seen["hot"]:

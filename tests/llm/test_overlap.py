@@ -77,6 +77,23 @@ def test_lists_without_an_equal_word_are_found(spark):
     assert links == brute(rows) and len(links) >= 63
 
 
+def test_two_flipped_bits_in_every_word(spark):
+    """No gram of halves is left out: about 28 of each pair's are equal."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(60):
+        base = [int(x) for x in rng.integers(1, 1 << 32, 120)]
+        rows += [(10 * k, base, 100.0), (10 * k + 1, [w ^ sum(1 << int(b) for b in rng.choice(32, 2, replace=False)) for w in base], 100.0)]
+    _, links = pairs(spark, rows)
+    assert links == [(10 * k, 10 * k + 1) for k in range(60)]
+
+
+def test_all_pairs_of_halves_are_grams():
+    words = np.random.default_rng(12).integers(1, 1 << 32, 200, dtype=np.uint64).astype(np.uint32)
+    gram, doc, distinct = O.grams(words, np.repeat([0, 1], 100))
+    assert distinct.tolist() == [100, 100] and np.bincount(doc).tolist() == [100 + 4 * 99] * 2
+
+
 def test_blocks_and_slices_change_nothing(spark, monkeypatch):
     rows = sample(np.random.default_rng(9), 12)
     want = pairs(spark, rows)
