@@ -94,3 +94,21 @@ def test_library(spark, small):
     pairs = [tuple(r) for r in N.found(spark, small).collect()]
     assert pairs and len(pairs) == len(set(pairs)) and all(a < b for _, a, b in pairs)
     assert len(N.clusters(spark, small).collect()) <= 2 * len(pairs)
+
+
+@pytest.mark.parametrize("pair", [
+    ("Wllm Garden Orchetsra", "William Garden Orchestra"), ("Robert Mjstc Sessions", "Bob Majestic Sessions"), ("Chrstn Chmbr Orchestra", "Christian Chamber Orchestra"), ("Chrstphr Smith", "Christopher Paul Smith"), ("Huose of Pian", "House of Pain"),
+    ("one window river tower garden island bridge market forest castle meadow harbor valley", "one widnow river tower garden island birdge market forest castle meadow harbor valley"), (" ".join(f"window{chr(97 + k)}" for k in range(26)) + " river tower" * 10, " ".join(f"window{chr(97 + k)}" for k in range(26)) + " river tower" * 9 + " rivre towr"),
+])
+def test_all_relations_of_common_words_are_candidates(spark, monkeypatch, pair):
+    """Two errors in many words, an error beside a short form, two short forms, consonants beside a middle name."""
+    monkeypatch.setattr(N, "RARE", 1)
+    assert N.match(*pair, True)
+    words = sorted({t for n in pair for t in N.tokens(n)})
+    rows = [("artist", n) for n in pair] + [("artist", f"{t} {x}") for t in words for x in ("quixotic", "vermilion")]
+    assert sorted(pair) in clusters(spark, rows)
+
+
+def test_order_of_a_namesake_hides_no_middle_name(spark):
+    rows = [("artist", n) for n in ("Smith, John Paul", "John Paul Smith", "John Smith")]
+    assert clusters(spark, rows) == [sorted(n for _, n in rows)]
