@@ -110,5 +110,5 @@ def test_all_relations_of_common_words_are_candidates(spark, monkeypatch, pair):
 
 
 def test_order_of_a_namesake_hides_no_middle_name(spark):
-    rows = [("artist", n) for n in ("Smith, John Paul", "John Paul Smith", "John Smith")]
-    assert clusters(spark, rows) == [sorted(n for _, n in rows)]
+    people = [[f"{s}, John Paul", f"John Paul {s}", f"John {s}"] for s in ("Smith", "Cooper", "Miller", "Zimmerman", "Garden", "Harbor", "Castle", "Meadow")]
+    assert clusters(spark, [("artist", n) for p in people for n in p]) == sorted(sorted(p) for p in people)
