@@ -112,3 +112,28 @@ def test_all_relations_of_common_words_are_candidates(spark, monkeypatch, pair):
 def test_order_of_a_namesake_hides_no_middle_name(spark):
     people = [[f"{s}, John Paul", f"John Paul {s}", f"John {s}"] for s in ("Smith", "Cooper", "Miller", "Zimmerman", "Garden", "Harbor", "Castle", "Meadow")]
     assert clusters(spark, [("artist", n) for p in people for n in p]) == sorted(sorted(p) for p in people)
+
+
+@pytest.mark.parametrize("rare", [1, 64])
+def test_words_written_short_make_no_hot_key(spark, monkeypatch, rare):
+    """Albums of one series share a short word, "volume" and a number; that alone makes no candidates."""
+    rng, seen, dedup = random.Random(6), [], N._dedup
+    word = lambda: "".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)).capitalize()
+    monkeypatch.setattr(N, "RARE", rare)
+    monkeypatch.setattr(N, "_dedup", lambda pairs: seen.append(dedup(pairs)) or seen[-1])
+    words = {word() for _ in range(60)}
+    rows = [("album", f"{w} {s}, Vol. {n}") for w in words for s, n in (("Sessions", 1), ("Sessions", 2), ("Sessions", 3), ("Sess.", 1))]
+    assert clusters(spark, rows) == sorted(sorted((f"{w} Sessions, Vol. 1", f"{w} Sess., Vol. 1")) for w in words)
+    assert seen[0].count() < 10 * len(rows)
+
+
+@pytest.mark.parametrize("pair", [
+    ("Wllm Gadren Towr Orchestra", "William Garden Tower Orchestra"), ("Wllm Gadren Towr Orchestra Vol. 2", "William Garden Tower Orchestra, Volume Two"), ("Bob Liz Wllm Orchestra", "Robert Elizabeth William Orchestra"),
+    ("Silent Gadren Twoer River Mjstc Sessions", "Silent Garden Tower River Majestic Sessions"), ("Bob Gadren T Orchestra", "Robert Garden Tower Orchestra"), ("Wllm of Gadren Twoer", "William of Garden Tower"),
+])
+def test_short_words_beside_all_other_relations(spark, monkeypatch, pair):
+    monkeypatch.setattr(N, "RARE", 1)
+    assert N.match(*pair, True)
+    words = sorted({t for n in pair for t in N.tokens(n)})
+    rows = [("artist", n) for n in pair] + [("artist", f"{t} {x}") for t in words for x in ("quixotic", "vermilion")]
+    assert any(set(pair) <= set(x) for x in clusters(spark, rows))
