@@ -1,12 +1,13 @@
 """Near-duplicate records with small edits, by a blocked sparse matrix product.
 
 The incidence matrix of documents by grams (here the 32-bit words of a fingerprint, and the pairs of halves of two words
-in succession, which lists share even where no word is equal bit for bit) is cut into blocks of columns by
-the gram's hash, as many as keep a block at a bounded size. Each task multiplies its block with its own transpose and sends on the overlap
-counts of the pairs it saw; the counts of all blocks are added up, and pairs below a bound that follows from
-their sizes are discarded. What is left is compared word by word. Exact copies are one class from the start,
-so only classes are multiplied; a gram that too many classes share is multiplied in sub-blocks by tasks of
-their own, so no task meets all pairs of a hot gram.
+in succession, which lists share even where no word is equal bit for bit) is multiplied with its own transpose in cells: the
+lists of a range of durations with themselves, those up to ten seconds longer and those of unknown duration. Where these are
+many, both sides are cut by hash and a cell holds a part of either. So each task sees all grams of its pairs: lists are sent
+but no grams and no counts, which by chance alone grow with the square of the lists. Grams are sorted in slices, pairs below a
+bound that follows from their sizes are discarded, and what is left is compared word by word. Exact copies are one class
+from the start, so only classes are multiplied; a gram that many classes share is counted only for pairs that share
+another one, or for lists it is enough for.
 """
 
 from __future__ import annotations
@@ -30,11 +31,15 @@ SECONDS = 10.0
 NON_ZERO = 0.1
 #: A pair must share a gram for every so many of the different words of the poorer list to be compared.
 EXACT_ONE_IN = 60
-#: Postings of a block, and pairs of a block that are counted at once.
-BLOCK, SLICE = 4_000_000, 4_000_000
+#: Words of a cell, pairs of a cell that are counted at once, and words whose grams are sorted at once.
+BLOCK, SLICE, SORTED = 60_000_000, 2_000_000, 1_000_000
+#: Pairs of a cell that are held; where there are more, its lists are taken in several turns.
+PAIRS = 7_000_000
+#: Durations are counted by the second up to this one; a range of them spans as many as ``SECONDS`` can reach.
+LONGEST, SPAN = 100_000, int(SECONDS) + 1
 #: Word pairs of two lists that are compared at once.
 CELLS = 4_000_000
-#: A gram of more classes than this is multiplied in sub-blocks of this size.
+#: A gram of more classes of a cell than this is counted last.
 HOT = 512
 
 
@@ -80,37 +85,97 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
-#: A posting carries its list's size as steps of this ratio and its duration in tenths of a second: enough to leave out
+#: A list carries its size as steps of this ratio and its duration in tenths of a second: enough to leave out
 #: most pairs at once; what is near the bounds is compared exactly later.
 RATIO = 1.06
-_NAMES, _KINDS = ["w", "c", "i", "n", "s", "u"], (np.uint32, np.uint32, np.int64, np.uint8, np.uint16, np.uint8)
 
 
-def _scatter(parts: int):
-    """Postings of each batch, by the part of their gram: rows (part, w, c, i, n, s, u) of packed arrays: the grams, list by list,
-    and of each list how many they are, id, rough size, rough duration (0 unknown), and how many grams a pair must share by
-    the number of its different words."""
+class Cells:
+    """Which cells lists go to. ``ticks`` has the words of the lists of each whole second, ``unknown`` those of no known duration.
+
+    Each range of at least ``SPAN`` seconds has ``low`` parts of its own lists and ``high`` parts of those it meets besides.
+    Cells follow one another: each low part with each high part, then each two low parts. The last range is that of unknown durations.
+    """
+
+    def __init__(self, ticks: dict[int, int], unknown: int, parts: int) -> None:
+        least = min(BLOCK // 3, -(-(sum(ticks.values()) + unknown) // parts))
+        self.start, own, first = [], [], []
+        for t in sorted(ticks):
+            if not own or (t - self.start[-1] >= SPAN and own[-1] >= least):
+                self.start.append(t)
+                own.append(0)
+                first.append(0)
+            if t - self.start[-1] < SPAN:
+                first[-1] += ticks[t]  # the range before meets no more than these
+            own[-1] += ticks[t]
+        meets = [n + unknown for n in (*first[1:], 0)] if own else []
+        grids = [self._grid(n, m) for n, m in zip([*own, unknown], [*meets, 0])]
+        self.low, self.high = (np.array([g[n] for g in grids], np.int64) for n in (0, 1))
+        self.base = np.concatenate(([0], np.cumsum(self.low * self.high + self.low * (self.low - 1) // 2)))
+        self.ends = np.array([*self.start[1:], LONGEST + 1], np.int64) if own else np.zeros(0, np.int64)
+        self.start = np.array(self.start, np.int64)
+
+    @staticmethod
+    def _grid(own: int, meets: int) -> tuple[int, int]:
+        """In how many parts either side is cut, so that the words sent are fewest."""
+        best = None
+        for low in range(1, 4 * own // BLOCK + 3):
+            room = BLOCK - own // low
+            high = -(-meets // room) if meets and room > 0 else 1
+            if (room >= own // low or low == 1 and own <= BLOCK) and (room > 0 or not meets):
+                cost = own * (high + low - 1) + meets * low
+                best = min(best or (cost, low, high), (cost, low, high))
+        return best[1:] if best else (4 * own // BLOCK + 3, 4 * meets // BLOCK + 3)
+
+    def of(self, rep: np.ndarray, seconds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, side) of lists; sides are 0 (met by its own side too), 2 (not so) and 1, the other one."""
+        unknown = np.isnan(seconds)
+        tick = np.minimum(np.where(unknown, 0, seconds), LONGEST).astype(np.int64)
+        last = len(self.low) - 1
+        place = np.where(unknown, last, np.searchsorted(self.start, tick, "right") - 1)
+        mixed = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        rows, cells, sides = [], [], []
+
+        def add(row: np.ndarray, cell: np.ndarray, side: np.ndarray) -> None:
+            rows.append(row)
+            cells.append(cell)
+            sides.append(np.broadcast_to(side, len(row)))
+
+        low, high, base = self.low[place], self.high[place], self.base[place]
+        part = (mixed % low.astype(np.uint64)).astype(np.int64)
+        for k in range(int(high.max(initial=0))):
+            at = np.flatnonzero(high > k)
+            add(at, base[at] + part[at] * high[at] + k, np.int32(2 * (k > 0)))
+        for k in range(int(low.max(initial=0))):
+            at = np.flatnonzero((low > k) & (part != k))
+            i, j = np.minimum(part[at], k), np.maximum(part[at], k)
+            add(at, base[at] + low[at] * high[at] + i * (2 * low[at] - i - 1) // 2 + j - i - 1, np.where(part[at] < k, 2, 1).astype(np.int32))
+        before = np.flatnonzero(~unknown & (place > 0))
+        before = before[tick[before] - self.start[place[before]] < SPAN]
+        met = [(before, place[before] - 1), *((at, np.full(len(at), r)) for at in [np.flatnonzero(unknown)] for r in range(last))]
+        for row, of in met:
+            part = (mixed[row] % self.high[of].astype(np.uint64)).astype(np.int64)
+            for k in range(int(self.low[of].max(initial=0))):
+                at = self.low[of] > k
+                add(row[at], self.base[of[at]] + k * self.high[of[at]] + part[at], np.int32(1))
+        return tuple(np.concatenate(x) for x in (rows, cells, sides))
+
+
+def _deal(cells: Cells):
+    """Lists (rep, seconds, words) to each cell they go to, with how many grams a pair must share by the number of its different words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column("words").to_pylist()
-            sizes = np.array([len(x) // 4 for x in raw], np.int64)
-            w, doc, distinct = grams(np.frombuffer(b"".join(raw), np.uint32), np.repeat(np.arange(len(raw)), sizes))
-            part = ((w.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
-            order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
-            w, doc, part = w[order], doc[order], part[order].astype(np.int64)
-            start = np.flatnonzero(np.concatenate(([len(w) > 0], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1]))))
-            count, doc, of_start = np.diff(np.concatenate((start, [len(w)]))).astype(np.uint32), doc[start], part[start]
-            tenths = np.nan_to_num(np.floor(batch.column("seconds").to_numpy(zero_copy_only=False).astype(np.float64) * 10), nan=-1.0)
-            of = (
-                batch.column("rep").to_numpy(), np.minimum(255, np.log(sizes) / np.log(RATIO)).astype(np.uint8), np.where((tenths < 0) | (tenths > 65_000), 0, tenths + 1).astype(np.uint16),
-                np.minimum(255, -(-distinct // EXACT_ONE_IN)).astype(np.uint8),
-            )
-            cuts, lists = (np.searchsorted(x, np.arange(parts + 1)) for x in (part, of_start))
-            rows = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-            columns = [(w, cuts), (count, lists), *((x[doc], lists) for x in of)]
-            packed = [pa.array([x[at[p] : at[p + 1]].tobytes() for p in rows], pa.binary()) for x, at in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *packed], ["part", *_NAMES])
+            doc = np.repeat(np.arange(len(raw), dtype=np.uint64), [len(x) // 4 for x in raw])
+            own = _distinct(doc << np.uint64(32) | np.frombuffer(b"".join(raw), np.uint32))
+            distinct = np.bincount((own >> np.uint64(32)).astype(np.int64), minlength=len(raw))
+            least = pa.array(np.minimum(255, -(-distinct // EXACT_ONE_IN)).astype(np.int32))
+            rows, cell, side = cells.of(batch.column("rep").to_numpy(), batch.column("seconds").to_numpy(zero_copy_only=False).astype(np.float64))
+            rest = pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("rep", "seconds", "words")), least], ["rep", "seconds", "words", "u"])
+            for at in range(0, len(rows), 10_000):
+                part = slice(at, at + 10_000)
+                yield pa.RecordBatch.from_arrays([pa.array(cell[part].astype(np.int32)), pa.array(side[part]), *rest.take(pa.array(rows[part])).columns], ["cell", "side", *rest.schema.names])
 
     return run
 
@@ -122,7 +187,7 @@ def _fits(n: np.ndarray, s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndar
     return (np.abs(n[a] - n[b]) <= np.ceil(-np.log(SHARE) / np.log(RATIO))) & ~(known & (np.abs(s[a] - s[b]) > 10 * SECONDS + 1))
 
 
-def _pairs_of(grids: list[np.ndarray], n: np.ndarray, s: np.ndarray) -> Iterator[np.ndarray]:
+def _pairs_of(grids: list[np.ndarray], n: np.ndarray, s: np.ndarray, kept=None) -> Iterator[np.ndarray]:
     """Keys ``low * width + high`` (places, not ids) of all allowed pairs within each row of document indexes, in slices."""
     width, keys, held = len(n), [], 0
     for grid in grids:
@@ -130,9 +195,10 @@ def _pairs_of(grids: list[np.ndarray], n: np.ndarray, s: np.ndarray) -> Iterator
         step = max(1, SLICE // 2 // max(1, len(left)))
         for at in range(0, len(grid), step):
             a, b = grid[at : at + step, left].ravel(), grid[at : at + step, right].ravel()
-            ok = _fits(n, s, a, b)
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            ok = _fits(n, s, a, b) if kept is None else kept(a, b) & _fits(n, s, a, b)
             a, b = a[ok], b[ok]
-            keys.append(np.minimum(a, b) * width + np.maximum(a, b))
+            keys.append(a * width + b)
             held += len(a)
             if held >= SLICE:
                 yield np.concatenate(keys)
@@ -141,91 +207,177 @@ def _pairs_of(grids: list[np.ndarray], n: np.ndarray, s: np.ndarray) -> Iterator
         yield np.concatenate(keys)
 
 
-OUT = ["kind", "a", "b", "u", "overlap", "n", "s"]
-DDL = "kind int, a bigint, b bigint, u bigint, overlap bigint, n bigint, s bigint"
+class Lists:
+    """The lists of a cell: words in a row, and of each list its id, side, size, duration and least number of common grams.
 
+    ``place`` numbers them, those of the first side before the others.
+    """
 
-def _out(kind: int, a, b, u, overlap, n=None, s=None) -> pa.RecordBatch:
-    n, s = (np.zeros(len(a)) if x is None else x for x in (n, s))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (a, b, u, overlap, n, s))], OUT)
+    def __init__(self, batches: Iterator[pa.RecordBatch]) -> None:
+        words, got = bytearray(), [[] for _ in range(5)]
+        for batch in batches:
+            raw = batch.column("words").to_pylist()
+            words += b"".join(raw)
+            got[0].append(np.array([len(x) // 4 for x in raw], np.int64))
+            for to, name in zip(got[1:], ("rep", "side", "seconds", "u")):
+                to.append(batch.column(name).to_numpy(zero_copy_only=False))
+        sizes, ids, side, seconds, least = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in got)
+        self.words, self.edge = np.frombuffer(words, np.uint32), np.concatenate(([0], np.cumsum(sizes)))
+        order = np.argsort(side == 1, kind="stable")
+        self.first, self.alone = int((side != 1).sum()), not (side == 2).any()
+        self.place = np.empty(len(order), np.uint64)
+        self.place[order] = np.arange(len(order), dtype=np.uint64)
+        self.row, self.ids, self.least, self.seconds = order, ids[order], least[order].astype(np.int64), seconds[order].astype(np.float64)
+        tenths = np.nan_to_num(np.floor(self.seconds * 10), nan=-1.0)
+        self.s = np.where((tenths < 0) | (tenths > 65_000), 0, tenths + 1).astype(np.uint16)
+        self.n = np.minimum(255, np.log(np.maximum(1, sizes[order])) / np.log(RATIO)).astype(np.uint8)
+
+    def list_of(self, place: int) -> np.ndarray:
+        return self.words[self.edge[self.row[place]] : self.edge[self.row[place] + 1]]
+
+    def shared(self) -> Iterator[np.ndarray]:
+        """Sorted distinct ``gram << 32 | place`` of the grams that several lists share, in slices that hold all of a gram.
+
+        The words are pairs of their own halves; each slice has the grams whose first half lies in a range.
+        """
+        halves = self.words.view(np.uint16)
+        own = [halves[h::2] for h in (0, 1)]
+        for one, first in enumerate(own):
+            ends = np.cumsum(sum((np.bincount(first[x : x + SLICE], minlength=1 << 16) for x in range(0, len(first), SLICE)), np.zeros(1 << 16, np.int64)))
+            at = until = 0
+            while at < 1 << 16 and ends[-1]:
+                done = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, done + SORTED, "right")))
+                if to > until:  # positions of a wider range first, so that few ranges go over all words
+                    until = max(to, int(np.searchsorted(ends, done + 8 * SORTED, "right")))
+                    wide = np.concatenate([(np.flatnonzero(first[x : x + SLICE] - np.uint16(at) < until - at) + x).astype(np.uint32) for x in range(0, len(first), SLICE)])
+                    values = first[wide]
+                where = wide[values - np.uint16(at) < to - at].astype(np.int64)
+                doc = np.searchsorted(self.edge, where, "right") - 1
+                inside = where + 1 < self.edge[doc + 1]
+                low = self.place[doc]
+                x = first[where].astype(np.uint64) << np.uint64(48) | low
+                if not one:
+                    yield from self._runs(x | own[1][where].astype(np.uint64) << np.uint64(32), False)
+                where, x, low = where[inside] + 1, x[inside], None
+                for second in own:
+                    yield from self._runs(x | second[where].astype(np.uint64) << np.uint64(32), True)
+                at = to
+
+    @staticmethod
+    def _runs(key: np.ndarray, halves: bool) -> Iterator[np.ndarray]:
+        if halves:
+            key = key[key >> np.uint64(32) != 0]  # two zero halves are no gram beside the zero word
+        key.sort()
+        same = (key[1:] ^ key[:-1]) >> np.uint64(32) == 0
+        some = np.concatenate((same, [False])) if len(key) else np.zeros(0, bool)
+        some[1:] |= same
+        key = key[some]
+        if len(key):
+            yield key[np.concatenate(([True], key[1:] != key[:-1]))]
+
+
+def _sum(held: list[np.ndarray]) -> np.ndarray:
+    """Keys ``pair << 8 | count``, each pair once; counts end at 255."""
+    x = np.concatenate(held) if held else np.zeros(0, np.uint64)
+    held.clear()
+    if not len(x):
+        return x
+    x.sort()
+    at = np.flatnonzero(np.concatenate(([True], x[1:] ^ x[:-1] > 255)))
+    count = np.minimum(np.add.reduceat(x.astype(np.uint8), at, dtype=np.uint32), 255)
+    x = x[at]
+    x &= ~np.uint64(255)
+    x |= count
+    return x
+
+
+def _counted(lists: Lists, start: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray] | int]:
+    """Places (a, b), a < b, of pairs that share grams enough and whose first place lies in the range; and, first, where the range ended."""
+    width, held, fresh, hot = len(lists.ids), [], 0, []
+    if lists.alone:
+        kept = lambda a, b: (a >= start) & (a < end)
+    else:
+        kept = lambda a, b: (a >= start) & (a < end) & (b >= lists.first)
+    for key in lists.shared():
+        local = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] >> np.uint64(32) != key[:-1] >> np.uint64(32), [True])))
+        at, count = edge[:-1], np.diff(edge)
+        some = (count > 1) & (local[at] < end)  # places are sorted within a gram
+        at, count = at[some], count[some]
+        hot += [local[x : x + c].astype(np.uint32) for x, c in zip(at[count > HOT], count[count > HOT])]
+        grids = (local[at[count == c][:, None] + np.arange(c)] for c in np.unique(count[count <= HOT]))
+        for keys in _pairs_of(grids, lists.n, lists.s, kept):
+            pair, n = np.unique(keys, return_counts=True)
+            held.append(pair.astype(np.uint64) << np.uint64(8) | np.minimum(n, 255).astype(np.uint64))
+            fresh += len(pair)
+            if fresh > PAIRS // 4:
+                held, fresh = [_sum(held)], 0
+                while len(held[0]) > PAIRS and end - start > 1:  # the later ones are left to another turn
+                    owner = held[0] // np.uint64(width << 8)
+                    end = max(start + 1, min(end - 1, int(owner[len(owner) // 2])))
+                    held[0] = held[0][: np.searchsorted(owner, np.uint64(end))]
+    yield end
+    pairs = _sum(held)
+    enough = np.zeros(width, bool)
+    if hot:
+        enough = np.bincount(np.concatenate(hot), minlength=width) >= lists.least
+    rich = []
+    for x in range(0, len(pairs), SLICE // 2):
+        part = pairs[x : x + SLICE // 2]
+        n, part = (part & np.uint64(255)).astype(np.int64), part >> np.uint64(8)
+        a, b = (part // np.uint64(width)).astype(np.int64), (part % np.uint64(width)).astype(np.int64)
+        counted = enough[a] | enough[b]
+        if hot:
+            rich.append((a[counted], b[counted], n[counted]))
+            for own in hot:
+                member = np.zeros(width, bool)
+                member[own] = True
+                n += member[a] & member[b]
+        ok = (n >= np.minimum(lists.least[a], lists.least[b])) & ~counted
+        yield a[ok], b[ok]
+    del pairs
+    # Lists with hot grams enough: all others are counted, list by list.
+    of: dict[int, list[np.ndarray]] = {int(x): [] for x in np.flatnonzero(enough)}
+    for own in hot:
+        for x in own[enough[own]]:
+            of[int(x)].append(own)
+    ra, rb, rn = (np.concatenate(x) if rich else np.zeros(0, np.int64) for x in (zip(*rich) if rich else [()] * 3))
+    by = [(np.argsort(x, kind="stable"), x) for x in (ra, rb)]
+    for x, grams_of in of.items():
+        total = np.zeros(width, np.int64)
+        for own in grams_of:
+            total[own] += 1
+        for (order, key), other in zip(by, (rb, ra)):
+            at = order[np.searchsorted(key, x, "left", sorter=order) : np.searchsorted(key, x, "right", sorter=order)]
+            total[other[at]] += rn[at]
+        y = np.flatnonzero((total >= np.minimum(lists.least, lists.least[x])) & (~enough | (np.arange(width) > x)))
+        y = y[y != x]
+        p, q = np.minimum(x, y), np.maximum(x, y)
+        ok = kept(p, q) & _fits(lists.n, lists.s, p, q)
+        yield p[ok], q[ok]
+
+
+def _turns(lists: Lists, start: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    while start < end:
+        found = _counted(lists, start, end)
+        start = next(found)
+        yield from found
 
 
 def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A block of columns times its transpose: (0, a, b, least overlap, overlap); members of hot grams: (1, id, gram, least
-    overlap, count, rough size, rough duration). Each task has one block, of a bounded size."""
-    got: list[list[bytes]] = [[] for _ in _NAMES]
-    for batch in batches:
-        for to, name in zip(got, _NAMES):
-            to += batch.column(name).to_pylist()
-    if not got[0]:
-        return
-    w, c, ids, size, seconds, least = (np.frombuffer(b"".join(x), kind) for x, kind in zip(got, _KINDS))
-    got.clear()
-    order = np.argsort(ids)  # places are in the order of ids
-    place = np.empty(len(ids), np.uint64)
-    place[order] = np.arange(len(ids), dtype=np.uint64)
-    ids, size, seconds, least = ids[order], size[order], seconds[order], least[order].astype(np.int64)
-    key = w.astype(np.uint64) << np.uint64(32) | np.repeat(place, c)
-    del w
-    key.sort()
-    w, local = (key >> np.uint64(32)).astype(np.uint32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    del key
-    edge = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1], [True])))
-    start, count = edge[:-1], np.diff(edge)
-    grids = (local[start[count == c][:, None] + np.arange(c)] for c in np.unique(count[(count > 1) & (count <= HOT)]))
-    for keys in _pairs_of(grids, size, seconds):
-        key, overlap = np.unique(keys, return_counts=True)
-        a, b = key // len(ids), key % len(ids)
-        other = ids[a] != ids[b]  # an id that came with several lists
-        a, b, overlap = a[other], b[other], overlap[other]
-        yield _out(0, ids[a], ids[b], np.minimum(least[a], least[b]), overlap)
-    for at, c in zip(start[count > HOT], count[count > HOT]):
-        own = local[at : at + c]
-        yield _out(1, ids[own], np.full(c, w[at]), least[own], np.full(c, c), size[own], seconds[own])
-
-
-def _hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, side, a, u, n, s) sorted by cell: the pairs of the two sub-blocks of each cell."""
-    held: list[pa.RecordBatch] = []
-
-    def close(rows: pa.Table) -> pa.RecordBatch:
-        ids, first, local = np.unique(rows["a"].to_numpy(), return_index=True, return_inverse=True)
-        u, n, s, side = rows["u"].to_numpy()[first], rows["n"].to_numpy()[first], rows["s"].to_numpy()[first], rows["side"].to_numpy()
-        left, right = local[side == 0], local[side == 1]
-        if len(right):
-            a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-        else:
-            x, y = np.triu_indices(len(left), 1)
-            a, b = left[x], left[y]
-        ok = _fits(n, s, a, b)
-        a, b = np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])
-        return _out(0, ids[a], ids[b], np.minimum(u[a], u[b]), np.ones(len(a), np.int64))
-
-    last = None
-    for batch in batches:
-        cells = batch.column("cell").to_pylist()
-        at = 0
-        while at < len(cells):
-            end = at
-            while end < len(cells) and cells[end] == cells[at]:
-                end += 1
-            if held and last != cells[at]:
-                yield close(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(at, end - at))
-            last, at = cells[at], end
-    if held:
-        yield close(pa.Table.from_batches(held))
-
-
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, x, y) whose word lists x and y cover each other well enough in stretches."""
-    for batch in batches:
-        xs, ys = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-        good = np.zeros(len(xs), bool)
-        for k, (x, y) in enumerate(zip(xs, ys)):
-            good[k] = x == y or covers(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32))
-        yield batch.select(["a", "b"]).filter(pa.array(good))
+    """The lists of a cell to the pairs of ids (a, b) whose lists cover each other well enough in stretches. Each task has one cell."""
+    lists = Lists(batches)
+    for a, b in _turns(lists, 0, lists.first):
+        x, y = lists.seconds[a], lists.seconds[b]
+        ok = (lists.ids[a] != lists.ids[b]) & ~(np.abs(x - y) > SECONDS + 1e-9)  # an id may come with several lists
+        a, b = a[ok], b[ok]
+        good = np.zeros(len(a), bool)
+        for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
+            x, y = lists.list_of(i), lists.list_of(j)
+            good[k] = np.array_equal(x, y) or covers(x, y)
+        a, b = lists.ids[a[good]], lists.ids[b[good]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def covers(x: np.ndarray, y: np.ndarray) -> bool:
@@ -276,31 +428,16 @@ class NearDuplicates:
             F.col(item).cast("bigint").alias("id"), known.alias("seconds"), F.xxhash64(words).alias("h1"), F.hash(F.reverse(words)).alias("h2"), F.col(words).cast("array<bigint>").alias("fingerprint")
         )
         packed = base.mapInArrow(_pack, "id bigint, seconds double, h1 bigint, h2 int, words binary")
-        self._reps = Stored(packed.groupBy("h1", "h2", "seconds").agg(F.min("id").alias("rep"), F.first("words").alias("words")), F.sum(F.length("words")).alias("bytes"))
+        self._reps = Stored(packed.groupBy("h1", "h2", "seconds").agg(F.min("id").alias("rep"), F.first("words").alias("words")))
         reps = self._reps.df
-        # About five grams a word; of all blocks each holds a bounded number of them.
-        parts = max(partitions(spark), -(-5 * (self._reps.seen["bytes"] or 0) // 4 // BLOCK))
         keys = reps.select("rep", F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("seconds").alias("k3"))
         own = base.select("id", "seconds", "h1", "h2").distinct()
         self.members = own.join(keys, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & F.col("seconds").eqNullSafe(F.col("k3"))).select("id", "rep", "seconds")
-        scattered = reps.select("rep", "seconds", "words").mapInArrow(_scatter(parts), "part int, w binary, c binary, i binary, n binary, s binary, u binary")
-        self._product = Stored(scattered.repartitionById(parts, F.col("part")).mapInArrow(_multiply, DDL), F.sum(F.expr("bigint(kind = 1)")).alias("hot"))
-        counts = self._product.df.filter("kind = 0").select("a", "b", "u", "overlap")
-        if self._product.seen["hot"]:
-            counts = counts.unionByName(self._hot_counts(parts))
-        pairs = counts.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.first("u").alias("u")).filter("overlap >= u").select("a", "b")
-        x, y = (reps.select(F.col("rep").alias(k), F.col("words").alias(v), F.col("seconds").alias(f"{v}_seconds")) for k, v in (("a", "x"), ("b", "y")))
-        near = F.coalesce(F.abs(F.col("x_seconds") - F.col("y_seconds")) <= SECONDS + 1e-9, F.lit(True))
-        self.links = pairs.join(x, "a").join(y, "b").filter(near).select("a", "b", "x", "y").mapInArrow(_similar, "a bigint, b bigint")
-
-    def _hot_counts(self, parts: int) -> DataFrame:
-        """Overlaps from grams of more than ``HOT`` classes: each pair of sub-blocks is a cell of its own."""
-        hot = self._product.df.filter("kind = 1").select("a", F.col("b").alias("w"), "u", "n", "s", F.ceil(F.col("overlap") / HOT).cast("int").alias("blocks"))
-        block = hot.withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
-        # A sub-block meets itself and every other one: as many copies of a row as there are sub-blocks.
-        meets = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = meets.select(F.concat_ws(":", "w", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), F.expr("int(block > other)").alias("side"), "a", "u", "n", "s")
-        return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_hot, DDL).select("a", "b", "u", "overlap")
+        tick = F.least(F.floor("seconds"), F.lit(LONGEST)).alias("tick")  # a row a second, whatever the size
+        ticks = {r["tick"]: r["n"] for r in reps.groupBy(tick).agg(F.sum(F.length("words") / 4).cast("bigint").alias("n")).collect()}
+        cells = Cells({t: n for t, n in ticks.items() if t is not None}, ticks.get(None, 0), partitions(spark))
+        dealt = reps.select("rep", "seconds", "words").mapInArrow(_deal(cells), "cell int, side int, rep bigint, seconds double, words binary, u int")
+        self.links = dealt.repartitionById(max(1, int(cells.base[-1])), F.col("cell")).mapInArrow(_multiply, "a bigint, b bigint").distinct()
 
 
 def _library(spark: SparkSession, sf_dir: str) -> NearDuplicates:

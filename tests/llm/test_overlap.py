@@ -152,3 +152,47 @@ def test_library_pairs(spark, request, folder):
     assert got == want
     classes = O.classes(spark, path).collect()
     assert len(classes) == len({r["file_id"] for r in classes}) and sum(r["n_links"] for r in classes) > 0
+
+
+def test_lists_are_dealt_to_cells_so_that_each_pair_meets_once(monkeypatch):
+    """What is sent are lists, a few times each, and neither grams nor counts."""
+    rng = np.random.default_rng(13)
+    seconds = np.where(rng.random(300) < 0.1, np.nan, np.floor(rng.random(300) ** 2 * 900) / 10)
+    rep, known = np.arange(300), ~np.isnan(seconds)
+    ticks = {int(t): int((np.floor(seconds) == t).sum()) * 100 for t in np.unique(np.floor(seconds[known]))}
+    for block, copies in ((100_000, 4), (6_000, 40), (1_000, 400)):
+        monkeypatch.setattr(O, "BLOCK", block)
+        cells = O.Cells(ticks, int((~known).sum()) * 100, 4)
+        row, cell, side = cells.of(rep, seconds)
+        assert cell.min() >= 0 and cell.max() < cells.base[-1] and len(row) < copies * 300
+        met = {}
+        for c in np.unique(cell):
+            of = list(zip(row[cell == c], side[cell == c]))
+            for k, (a, x) in enumerate(of):
+                for b, y in of[:k]:
+                    if {x, y} in ({0}, {0, 1}, {1, 2}):
+                        met[frozenset((a, b))] = met.get(frozenset((a, b)), 0) + 1
+        assert set(met.values()) == {1}
+        for a in range(300):
+            for b in range(a):
+                if not abs(seconds[a] - seconds[b]) > O.SECONDS:
+                    assert frozenset((a, b)) in met
+
+
+def test_turns_and_hot_grams_change_nothing(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(14)
+    raw = [(rng.integers(0, 6, 30) << 16 | rng.integers(0, 2000, 30)).astype(np.uint32) for _ in range(60)]
+    columns = [pa.array(range(60)), pa.array([k % 3 == 0 for k in range(60)]).cast(pa.int32()), pa.array([None] * 60, pa.float64()), pa.array([w.tobytes() for w in raw], pa.binary()), pa.array([2] * 60, pa.int32())]
+    batch = pa.RecordBatch.from_arrays(columns, ["rep", "side", "seconds", "words", "u"])
+
+    def counted():
+        lists = O.Lists(iter([batch.slice(0, 25), batch.slice(25)]))
+        return sorted((int(x), int(y)) for a, b in O._turns(lists, 0, lists.first) for x, y in zip(a, b))
+
+    want = counted()
+    assert want and len(want) == len(set(want))
+    for name, value in (("PAIRS", 40), ("SORTED", 50), ("SLICE", 60), ("HOT", 4)):
+        monkeypatch.setattr(O, name, value)
+        assert counted() == want
